@@ -324,7 +324,9 @@ def episode_metrics(features: DataFrame, sessions: DataFrame) -> DataFrame:
     )
     numbers = ["count", "avg_duration", "avg_confidence", *TYPES]
     filled = hands.join(stats, KEYS, "left").fillna(0, numbers)
-    entries = F.filter(F.array(*[F.struct(F.lit(t), F.col(t)) for t in TYPES]), lambda e: e["col2"] > 0)
+    entries = F.filter(
+        F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("n")) for t in TYPES]), lambda e: e["n"] > 0
+    )
     return filled.withColumn("types", F.map_from_entries(entries))
 
 
