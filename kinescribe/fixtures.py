@@ -6,7 +6,7 @@ the rows, so row numbers and running times are computed per bucket (see ``plans.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinescribe.plans.chunks import dense_index, running_sum
@@ -127,16 +127,14 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """words with times by character offset; ``word_pos`` orders them within a session."""
+    """words with times by character offset, counting one separator per word."""
     segs = transcript(spark, sf_dir)
-    token = F.split("text", r"\s+")
-    sized = segs.withColumn("parts", token)
-    numbered = sized.select("session_id", "seg_idx", "start_s", F.posexplode("parts").alias("i", "word"), "parts")
-    offset = F.aggregate(
-        F.slice("parts", F.lit(1), F.col("i")), F.lit(0), lambda total, w: total + F.length(w) + 1
-    )
-    return numbered.select(
-        "session_id", "seg_idx", F.col("i").alias("word_no"), "word",
+    split = segs.select("session_id", "seg_idx", "start_s", F.posexplode(F.split("text", r"\s+")).alias("word_no", "word"))
+    # One segment is one text value, so its words always fit a task.
+    before = Window.partitionBy("session_id", "seg_idx").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))
+    return split.select(
+        "session_id", "seg_idx", "word_no", "word",
         (F.col("start_s") + offset / CHARS_PER_SECOND).alias("start_s"),
         (F.col("start_s") + (offset + F.length("word")) / CHARS_PER_SECOND).alias("end_s"),
     )

@@ -42,9 +42,10 @@ def clock(seconds: Column) -> Column:
 
 
 def day_label(day: Column, today: Column) -> Column:
-    """Today, Yesterday or the date."""
+    """Today (May 03), Yesterday (May 02) or May 01, 2024."""
     age = F.datediff(today, day)
-    return F.when(age == 0, "Today").when(age == 1, "Yesterday").otherwise(F.date_format(day, "yyyy-MM-dd"))
+    near = lambda name: F.concat(F.lit(name + " ("), F.date_format(day, "MMMM dd"), F.lit(")"))
+    return F.when(age == 0, near("Today")).when(age == 1, near("Yesterday")).otherwise(F.date_format(day, "MMMM dd, yyyy"))
 
 
 # --- text --------------------------------------------------------------------------------------------

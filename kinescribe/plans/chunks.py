@@ -35,7 +35,7 @@ def chunk_of(position: str | Column, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(col / F.lit(rows)).cast("bigint")
 
 
-def ordered(keys: Sequence[str], *order: str):
+def ordered(keys: Sequence[str], *order: str | Column):
     """Window over ``keys`` ordered by ``order``."""
     return Window.partitionBy(*keys).orderBy(*order)
 
