@@ -38,11 +38,12 @@ STANDARD, AGGRESSIVE = r"^[a-z]{3,}$", r"^.{2,}$"
 def ngrams(words: str, longest: int) -> Column:
     """All n-grams up to ``longest`` words of an array column, as one array."""
     word = F.col(words)
-    grams = [word]
-    for n in range(2, longest + 1):
+
+    def of(n: int) -> Column:
         starts = F.when(F.size(word) >= n, F.sequence(F.lit(1), F.size(word) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(word, i, n), " ")))
-    return F.concat(*grams)
+        return F.transform(starts, lambda i: F.array_join(F.slice(word, i, n), " "))
+
+    return F.concat(word, *[of(n) for n in range(2, longest + 1)])
 
 
 def term_counts(
@@ -172,7 +173,9 @@ def topic_pairs(topics: DataFrame) -> DataFrame:
     """Unordered pairs of rows of a size-checked topic table; columns get the suffixes _a and _b."""
     columns = topics.columns
     others = small_list(topics.select(F.struct("topic", *[c for c in columns if c != "topic"]).alias("s")), F.col("s"))
-    paired = topics.withColumn("_b", F.explode(F.filter(others, lambda o: o["topic"] > F.col("topic"))))
+    paired = topics.withColumn("_others", others).withColumn(
+        "_b", F.explode(F.filter("_others", lambda o: o["topic"] > F.col("topic")))
+    )
     return paired.select(*[F.col(c).alias(f"{c}_a") for c in columns], *[F.col(f"_b.{c}").alias(f"{c}_b") for c in columns])
 
 
