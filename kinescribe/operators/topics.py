@@ -46,19 +46,27 @@ def ngrams(words: str, longest: int) -> Column:
     return F.concat(word, *[of(n) for n in range(2, longest + 1)])
 
 
-def term_counts(
-    docs: DataFrame, keys: Sequence[str], longest: int = 3, word_rule: str = STANDARD, stop_words: Sequence[str] = STOP_WORDS
-) -> DataFrame:
-    """Occurrences ``tf`` of each term per ``keys`` in the lower-cased ``text``."""
+def words_of(docs: DataFrame, keys: Sequence[str], word_rule: str = STANDARD, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """Kept words of the lower-cased ``text`` of each row, in order, as array ``words``.
+
+    N-grams are to be built from it inside ``explode`` only: as a projection of its own, the optimizer would
+    merge the two and split the text again for every n-gram.
+    """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    kept = docs.select(*keys, F.filter(words, lambda w: w.rlike(word_rule) & ~w.isin(*stop_words)).alias("words"))
-    return kept.select(*keys, F.explode(ngrams("words", longest)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select(*keys, F.filter(words, lambda w: w.rlike(word_rule) & ~w.isin(*stop_words)).alias("words"))
 
 
-def vocabulary(counts: DataFrame, docs: Column, max_df: float, min_df: int, max_features: int) -> DataFrame:
+def vocabulary(words: DataFrame, longest: int, docs: Column, max_df: float, min_df: int, max_features: int) -> DataFrame:
     """The most frequent terms (ties: alphabetical) that occur in at least ``min_df`` documents and at most
-    a share ``max_df`` of the ``docs`` documents, with their smoothed inverse document frequency."""
-    per_term = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    a share ``max_df`` of the ``docs`` documents, with their smoothed inverse document frequency.
+
+    Occurrences and documents are summed together, combined per task before one shuffle on the term.
+    """
+    cell = lambda tf, df: lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
+    grams = ngrams("words", longest)
+    both = F.concat(F.transform(grams, cell(1, 0)), F.transform(F.array_distinct(grams), cell(0, 1)))
+    cells = words.select(F.explode(both).alias("c"))
+    per_term = cells.groupBy("c.term").agg(F.sum("c.tf").alias("total"), F.sum("c.df").alias("df"))
     usable = per_term.withColumn("docs", docs).where((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
     best = usable.orderBy(F.col("total").desc(), "term").limit(max_features)
     return best.withColumn("idf", F.log((F.col("docs") + 1.0) / (F.col("df") + 1.0)) + 1.0)
@@ -68,10 +76,15 @@ def tfidf(
     docs: DataFrame, key: str, longest: int = 3, word_rule: str = STANDARD, max_df: float = 0.85, min_df: int = 2,
     max_features: int = 500, stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
-    """Length-normalised tf-idf weights: one row per document and vocabulary term."""
-    counts = term_counts(docs, [key], longest, word_rule, stop_words)
-    terms = vocabulary(counts, docs.agg(F.count(F.lit(1))).scalar(), max_df, min_df, max_features)
-    weighted = counts.join(terms.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    """Length-normalised tf-idf weights: one row per document and vocabulary term.
+
+    Two passes over the texts: one for the vocabulary, one that keeps only its terms before anything is
+    shuffled by document.
+    """
+    words = words_of(docs, [key], word_rule, stop_words)
+    vocab = vocabulary(words, longest, docs.agg(F.count(F.lit(1))).scalar(), max_df, min_df, max_features)
+    listed = words.select(key, F.explode(ngrams("words", longest)).alias("term")).join(vocab.select("term", "idf"), "term")
+    weighted = listed.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
     # At most max_features rows per document.
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("w") / norm).alias("weight"))
@@ -87,13 +100,15 @@ def ctfidf(segments: DataFrame, min_classes: int = 1, longest: int = 3, stop_wor
     Terms are counted per topic with map-side combining, so a topic with most of the text is not a hot spot.
     ``min_classes`` is the number of topics a term must occur in.
     """
-    counts = term_counts(segments.where(F.col("topic") != -1), ["topic"], longest, AGGRESSIVE, stop_words)
-    per_term = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("classes"))
-    kept = counts.join(per_term.where(F.col("classes") >= min_classes), "term")
-    mean_words = per_term.where(F.col("classes") >= min_classes).agg(F.sum("total")).scalar() / counts.agg(
-        F.count_distinct("topic")
-    ).scalar()
-    return kept.select("topic", "term", (F.col("tf") * F.log(1.0 + mean_words / F.col("total"))).alias("weight"))
+    words = words_of(segments.where(F.col("topic") != -1), ["topic"], AGGRESSIVE, stop_words)
+    listed = words.select("topic", F.explode(ngrams("words", longest)).alias("term"))
+    counts = listed.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
+    over = Window.partitionBy("term")
+    totals = stage(counts.withColumns({"total": F.sum("tf").over(over), "classes": F.count(F.lit(1)).over(over)}))
+    kept = totals.where(F.col("classes") >= min_classes)
+    topics = totals.agg(F.count_distinct("topic")).scalar()
+    weight = F.col("tf") * F.log(1.0 + F.col("mean_words") / F.col("total"))
+    return kept.withColumn("mean_words", kept.agg(F.sum("tf")).scalar() / topics).select("topic", "term", weight.alias("weight"))
 
 
 def topic_words(weights: DataFrame, k: int = 10) -> DataFrame:
@@ -218,18 +233,21 @@ def centroids(vectors: DataFrame, by: str = "topic") -> DataFrame:
     return means.select(by, vector_to_array("_m").alias("embedding"), "n")
 
 
-def unit(vec: Column) -> Column:
-    """Vector of length one (unchanged if it has no length)."""
-    norm = F.sqrt(dot(vec, vec))
-    return F.transform(vec, lambda v: F.when(norm > 0, v / norm).otherwise(v))
+def length_of(vec: Column) -> Column:
+    return F.sqrt(dot(vec, vec))
 
 
 def scored_against(vectors: DataFrame, prototypes: DataFrame, name: str) -> DataFrame:
     """Adds ``scores``: cosine to each row of a size-checked prototype table, as structs (name, score)."""
-    listed = small_list(prototypes.select(F.struct(name, unit(F.col("embedding")).alias("p")).alias("s")), F.col("s"))
-    prepared = vectors.withColumns({"_unit": unit(F.col("embedding")), "_protos": listed})
-    score = lambda p: F.struct(p[name].alias(name), dot(F.col("_unit"), p["p"]).alias("score"))
-    return prepared.withColumn("scores", F.transform("_protos", score)).drop("_unit", "_protos")
+    proto = F.struct(name, F.col("embedding").alias("p"), length_of(F.col("embedding")).alias("len"))
+    prepared = vectors.withColumns({"_protos": small_list(prototypes.select(proto.alias("s")), F.col("s")), "_len": length_of(F.col("embedding"))})
+
+    def score(p: Column) -> Column:
+        lengths = F.col("_len") * p["len"]
+        cosine = F.when(lengths > 0, dot(F.col("embedding"), p["p"]) / lengths).otherwise(0.0)
+        return F.struct(p[name].alias(name), cosine.alias("score"))
+
+    return prepared.withColumn("scores", F.transform("_protos", score)).drop("_protos", "_len")
 
 
 def category_similarity(vectors: DataFrame, prototypes: DataFrame, name: str = "category") -> DataFrame:
