@@ -26,6 +26,11 @@ def _side(id_col: str) -> Column:
     return F.when(F.col(id_col) % 2 == 0, "left").otherwise("right")
 
 
+def minute_of(ts: str) -> Column:
+    """Minutes since 1970 on the timestamp's own clock, whatever the session's time zone."""
+    return F.unix_date(F.to_date(ts)) * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
 def trace(spark: SparkSession, sf_dir: str, fps: float = 30.0) -> DataFrame:
     """pixel trace per user and hand; error events are frames without a detection."""
     events = read(spark, sf_dir, "events").select(
@@ -37,8 +42,7 @@ def trace(spark: SparkSession, sf_dir: str, fps: float = 30.0) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("double").alias("k"),
     )
-    minute = F.floor(F.unix_timestamp("ts") / 60)
-    ranked = dense_index(events, ["session_id", "hand"], minute, ["ts", "event_id"], "frame_idx")
+    ranked = dense_index(events, ["session_id", "hand"], minute_of("ts"), ["ts", "event_id"], "frame_idx")
     return ranked.select(
         "session_id",
         "hand",

@@ -259,8 +259,7 @@ def gesture_frames(spark: SparkSession, sf: str) -> DataFrame:
     from kinescribe.plans.chunks import dense_index
 
     rows = fixtures.gestures(spark, sf)
-    minute = F.floor(F.unix_timestamp("ts") / 60)
-    return dense_index(rows, ["session_id", "hand"], minute, ["ts", "event_id"], "frame_idx")
+    return dense_index(rows, ["session_id", "hand"], fixtures.minute_of("ts"), ["ts", "event_id"], "frame_idx")
 
 
 @query("context_at", with_([GESTURE_FRAMES_CTE, SPEECH_CTE,
