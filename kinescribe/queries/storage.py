@@ -79,3 +79,48 @@ def presence_sessions_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions that had ended when the stream did (later ones stay open in its state)."""
     seen = as_gestures(event_stream(spark, sf).where(F.col("event_type") != "error"))
     return incremental.run_available(incremental.presence_sessions(seen, "12 hours", "0 seconds"), "append")
+
+
+@query("stitched_segments_stream", "SELECT conv_id AS session_id, text, COUNT(*) AS n FROM conversations GROUP BY ALL")
+def stitched_segments_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping 300-second chunks arriving as files; every segment must come out once."""
+    from kinescribe.operators.lookups import overlapping
+    from kinescribe.operators.transcript import chunk_bounds
+    from kinescribe.queries.speech import sessions as timed_sessions
+
+    bounds = chunk_bounds(timed_sessions(spark, sf))
+    pairs = overlapping(bounds, fixtures.transcript(spark, sf), ["session_id"], ("extract_start", "extract_end"), ("start_s", "end_s"))
+    cut = pairs.where((F.col("start_s") < F.col("extract_end")) & (F.col("end_s") > F.col("extract_start"))).select(
+        "session_id", "chunk_idx", (F.greatest("start_s", "extract_start") - F.col("extract_start")).alias("start_s"),
+        (F.least("end_s", "extract_end") - F.col("extract_start")).alias("end_s"), "text",
+        F.timestamp_seconds(F.col("core_end")).alias("arrived"),
+    )
+    folder = f"{checkpoint_root(spark)}/kinescribe-chunks/{uuid.uuid4().hex}"
+    cut.write.parquet(folder)
+    stream = spark.readStream.schema(cut.schema).parquet(folder)
+    out = incremental.run_available(incremental.new_chunk_segments(stream), "append")
+    return out.groupBy("session_id", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("contact_events", f"""WITH d AS (SELECT user_id AS session_id, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS body_part, value AS d,
+       ROW_NUMBER() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1 AS f FROM events),
+       s AS (SELECT *, CASE WHEN COUNT(*) FILTER (d < 15) OVER p = 2 THEN 1 WHEN COUNT(*) FILTER (d > 25) OVER p = 2 THEN 0 END AS signal FROM d
+       WINDOW p AS (PARTITION BY session_id, body_part ORDER BY f ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)),
+       t AS (SELECT *, COALESCE(LAST_VALUE(signal IGNORE NULLS) OVER (PARTITION BY session_id, body_part ORDER BY f
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state FROM s),
+       u AS (SELECT *, SUM(CASE WHEN state = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, body_part ORDER BY f) AS g FROM t)
+       SELECT session_id, body_part, {sr('MIN(f) / 10.0', 't_start')}, {sr('MAX(f) / 10.0', 't_end')}, {sr('AVG(d)', 'mean_distance_px')}, COUNT(*) AS frames
+       FROM u WHERE state = 1 GROUP BY session_id, body_part, g""")
+def contact_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Event values as distances: touching below 15, released above 25, two frames each."""
+    from kinescribe.operators import contacts
+    from kinescribe.plans.chunks import dense_index
+
+    events = fixtures.read(spark, sf, "events").select(
+        F.col("user_id").alias("session_id"), F.lit(0).alias("person_id"),
+        F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("body_part"), F.lit(0).alias("object_id"),
+        F.lit("cup").alias("object_label"), F.col("value").alias("distance_px"), "ts", "event_id",
+    )
+    placed = dense_index(events, contacts.KEYS, fixtures.minute_of("ts"), ["ts", "event_id"], "frame_idx")
+    out = contacts.contact_events(placed, 15.0, 25.0, 2, 10.0)
+    return out.select("session_id", "body_part", r("t_start"), r("t_end"), r("mean_distance_px"), "frames")
