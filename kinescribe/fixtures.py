@@ -22,6 +22,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A text table, spread over all cores if it comes in fewer splits than that.
+
+    Many files or row groups (any large table) already give enough splits and are not shuffled.
+    """
+    df = read(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _side(id_col: str) -> Column:
     return F.when(F.col(id_col) % 2 == 0, "left").otherwise("right")
 
@@ -146,7 +156,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_segments(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     """documents as segments of their source, with sentiment from the labels and a fixed topic."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", *(["text"] if with_text else []))
+    docs = (read_texts if with_text else read)(spark, sf_dir, "documents").select("doc_id", "source", *(["text"] if with_text else []))
     labels = read(spark, sf_dir, "labels")
     ranked = dense_index(
         docs.withColumnsRenamed({"source": "session_id", "doc_id": "seg_idx"}),

@@ -42,7 +42,7 @@ _AGGRESSIVE = _tfidf_cte(topics.AGGRESSIVE, 2, 0.9, 1, 300)
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.read(spark, sf, "documents").select("doc_id", "text")
+    return fixtures.read_texts(spark, sf, "documents").select("doc_id", "text")
 
 
 @query("tfidf_terms", with_([_STANDARD], f"SELECT doc_id, term, {sr('weight')} FROM ti"))
