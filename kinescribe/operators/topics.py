@@ -36,53 +36,81 @@ STANDARD, AGGRESSIVE = r"^[a-z]{3,}$", r"^.{2,}$"
 # --- terms -------------------------------------------------------------------------------------------
 
 def ngrams(words: str, longest: int) -> Column:
-    """All n-grams up to ``longest`` words of an array column, as one array."""
+    """All n-grams up to ``longest`` words of an array column, as one array; none spans a NULL."""
     word = F.col(words)
 
     def of(n: int) -> Column:
         starts = F.when(F.size(word) >= n, F.sequence(F.lit(1), F.size(word) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(word, i, n), " "))
+        # concat is NULL as soon as one word is.
+        gram = lambda i: [p for j in range(n) for p in (F.lit(" "), F.get(word, i - 1 + j))][1:]
+        return F.transform(starts, lambda i: F.concat(*gram(i)))
 
-    return F.concat(word, *[of(n) for n in range(2, longest + 1)])
+    return F.array_compact(F.concat(word, *[of(n) for n in range(2, longest + 1)]))
 
 
-def words_of(docs: DataFrame, keys: Sequence[str], word_rule: str = STANDARD, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """Kept words of the lower-cased ``text`` of each row, in order, as array ``words``.
+def words_of(
+    docs: DataFrame, keys: Sequence[str], word_rule: str = STANDARD, stop_words: Sequence[str] = STOP_WORDS,
+    only: Sequence[str] | None = None,
+) -> DataFrame:
+    """Kept words of the lower-cased ``text`` of each row, in order, as array ``words``; NULL in place of
+    words not in ``only``.
 
     N-grams are to be built from it inside ``explode`` only: as a projection of its own, the optimizer would
     merge the two and split the text again for every n-gram.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    return docs.select(*keys, F.filter(words, lambda w: w.rlike(word_rule) & ~w.isin(*stop_words)).alias("words"))
-
+    kept = F.filter(words, lambda w: w.rlike(word_rule) & ~w.isin(*stop_words))
+    if only is not None:
+        kept = F.transform(kept, lambda w: F.when(w.isin(*only), w))
+    return docs.select(*keys, kept.alias("words"))
 
-def vocabulary(words: DataFrame, longest: int, docs: Column, max_df: float, min_df: int, max_features: int) -> DataFrame:
-    """The most frequent terms (ties: alphabetical) that occur in at least ``min_df`` documents and at most
-    a share ``max_df`` of the ``docs`` documents, with their smoothed inverse document frequency.
 
-    Occurrences and documents are summed together, combined per task before one shuffle on the term.
-    """
+def term_stats(words: DataFrame, longest: int) -> DataFrame:
+    """Occurrences ``total`` and documents ``df`` of each term, summed together and combined per task before
+    one shuffle on the term."""
     cell = lambda tf, df: lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
     grams = ngrams("words", longest)
     both = F.concat(F.transform(grams, cell(1, 0)), F.transform(F.array_distinct(grams), cell(0, 1)))
     cells = words.select(F.explode(both).alias("c"))
-    per_term = cells.groupBy("c.term").agg(F.sum("c.tf").alias("total"), F.sum("c.df").alias("df"))
-    usable = per_term.withColumn("docs", docs).where((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
+    return cells.groupBy("c.term").agg(F.sum("c.tf").alias("total"), F.sum("c.df").alias("df"))
+
+
+def vocabulary(stats: DataFrame, docs: Column, max_df: float, min_df: int, max_features: int) -> DataFrame:
+    """The most frequent terms (ties: alphabetical) that occur in at least ``min_df`` documents and at most
+    a share ``max_df`` of the ``docs`` documents, with their smoothed inverse document frequency."""
+    usable = stats.withColumn("docs", docs).where((F.col("df") >= min_df) & (F.col("df") <= F.col("docs") * max_df))
     best = usable.orderBy(F.col("total").desc(), "term").limit(max_features)
     return best.withColumn("idf", F.log((F.col("docs") + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
+def frequent_words(words: DataFrame, docs: Column, max_df: float, min_df: int, max_features: int, limit: int = 20_000) -> list[str] | None:
+    """Words that terms of the vocabulary can consist of, or None if all can.
+
+    An n-gram is never more frequent than its rarest word. Once ``max_features`` single words qualify, terms
+    less frequent than the last of them are out, and so is every n-gram with such a word. This spares
+    counting most n-grams. If the list would be long, nothing is left out.
+    """
+    stats = stage(term_stats(words, 1))
+    single = vocabulary(stats, docs, max_df, min_df, max_features).agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("floor")).first()
+    if single["n"] < max_features:
+        return None
+    kept = [r["term"] for r in stats.where(F.col("total") >= single["floor"]).select("term").limit(limit + 1).collect()]
+    return kept if len(kept) <= limit else None
+
+
 def tfidf(
     docs: DataFrame, key: str, longest: int = 3, word_rule: str = STANDARD, max_df: float = 0.85, min_df: int = 2,
     max_features: int = 500, stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
     """Length-normalised tf-idf weights: one row per document and vocabulary term.
 
-    Two passes over the texts: one for the vocabulary, one that keeps only its terms before anything is
-    shuffled by document.
+    Three passes over the texts: one for single words, one for the vocabulary, and one that keeps only its
+    terms before anything is shuffled by document.
     """
-    words = words_of(docs, [key], word_rule, stop_words)
-    vocab = vocabulary(words, longest, docs.agg(F.count(F.lit(1))).scalar(), max_df, min_df, max_features)
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    only = frequent_words(words_of(docs, [], word_rule, stop_words), total, max_df, min_df, max_features)
+    words = words_of(docs, [key], word_rule, stop_words, only)
+    vocab = vocabulary(term_stats(words, longest), total, max_df, min_df, max_features)
     listed = words.select(key, F.explode(ngrams("words", longest)).alias("term")).join(vocab.select("term", "idf"), "term")
     weighted = listed.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
     # At most max_features rows per document.

@@ -8,23 +8,26 @@ scans read only the columns they need, and a lost executor costs a re-read inste
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from kinescribe.plans.session import checkpoint_root
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and return a DataFrame that reads it back.
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """New path below the shared checkpoint folder; its file system deletes it when the driver ends."""
+    path = f"{checkpoint_root(spark)}/kinescribe-{kind}/{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
+
 
-    The files are removed when the driver ends.
-    """
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/kinescribe-stages/{uuid.uuid4().hex}"
+    path = f"{fresh_folder(spark, 'stages')}/rows"
     df.write.parquet(path)
-    if "://" not in path or path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.removeprefix("file:").replace("///", "/"), ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)

@@ -181,8 +181,8 @@ _SIDES = ", ".join(
        f"SELECT * EXCLUDE (mt), {sr('mt', 'mean_tortuosity')}, "
        "COALESCE(mt = (SELECT MIN(mt) FROM wide), FALSE) AS is_best FROM wide"))
 def performance_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    metrics = traces.motion_metrics(traces.speeds(fixtures.trace(spark, sf), **DIM, **LOOSE))
-    out = traces.performance_comparison(metrics, traces.hmi_metrics(stage(phased(spark, sf))))
+    metrics = stage(traces.motion_metrics(traces.speeds(fixtures.trace(spark, sf), **DIM, **LOOSE)))
+    out = traces.performance_comparison(metrics, stage(traces.hmi_metrics(stage(phased(spark, sf)))))
     sides = [f"{n}_{h}" for n in ("speed", "tortuosity") for h in ("left", "right")]
     return out.select(
         "session_id", *[r(c) for c in sides], r("jerk_left", 2), r("jerk_right", 2), r("mean_tortuosity"), "is_best"

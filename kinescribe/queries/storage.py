@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinescribe import fixtures
-from kinescribe.plans.session import checkpoint_root
+from kinescribe.plans.staging import fresh_folder
 from kinescribe.queries.base import query, r, sr, with_
 from kinescribe.sources import library, sessions
 from kinescribe.streaming import incremental
@@ -20,7 +18,7 @@ from kinescribe.streaming import incremental
        CAST(COALESCE(chars, 0) AS BIGINT) AS chars FROM t LEFT JOIN s USING (session_id)""")
 def session_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Save one session per calendar day (trace and transcript), read all back, and count."""
-    root = f"{checkpoint_root(spark)}/kinescribe-library/{uuid.uuid4().hex}"
+    root = fresh_folder(spark, "library")
     events = fixtures.read(spark, sf, "events").withColumn("session_id", F.concat(F.lit("day "), F.dayofmonth("ts")))
     trace = events.select("session_id", F.lit("left").alias("hand"), F.col("event_id").alias("frame_idx"), F.col("value").alias("x"))
     speech = fixtures.read(spark, sf, "conversations").select(
@@ -95,7 +93,7 @@ def stitched_segments_stream(spark: SparkSession, sf: str) -> DataFrame:
         (F.least("end_s", "extract_end") - F.col("extract_start")).alias("end_s"), "text",
         F.timestamp_seconds(F.col("core_end")).alias("arrived"),
     )
-    folder = f"{checkpoint_root(spark)}/kinescribe-chunks/{uuid.uuid4().hex}"
+    folder = f"{fresh_folder(spark, 'chunks')}/rows"
     cut.write.parquet(folder)
     stream = spark.readStream.schema(cut.schema).parquet(folder)
     out = incremental.run_available(incremental.new_chunk_segments(stream), "append")

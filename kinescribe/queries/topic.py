@@ -65,7 +65,8 @@ tp AS (SELECT * FROM tp0 WHERE rank <= 10)"""
 
 def ctfidf_words(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked topic words (weights rounded first, so that ties are broken alike everywhere)."""
-    weights = topics.ctfidf(f4(spark, sf).select("topic", "text"), min_classes=2).withColumn("weight", F.round("weight", 6))
+    segments = docs(spark, sf).select(fixtures.topic_of("doc_id").alias("topic"), "text")
+    weights = topics.ctfidf(segments, min_classes=2).withColumn("weight", F.round("weight", 6))
     return topics.topic_words(weights)
 
 

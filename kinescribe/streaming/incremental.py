@@ -6,14 +6,13 @@ are governed by the watermark.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinescribe.operators.transcript import normalised
-from kinescribe.plans.session import checkpoint_root
+from kinescribe.plans.staging import fresh_folder
 
 KEYS = ["session_id", "hand"]
 
@@ -57,7 +56,7 @@ def run_available(result: DataFrame, mode: str, keys: Sequence[str] = (), each:
     In update mode the latest value per ``keys`` counts. ``each`` may transform every micro-batch.
     """
     spark = result.sparkSession
-    base = f"{checkpoint_root(spark)}/kinescribe-streams/{uuid.uuid4().hex}"
+    base = fresh_folder(spark, "streams")
 
     def append(batch: DataFrame, batch_id: int) -> None:
         rows = each(batch) if each else batch
