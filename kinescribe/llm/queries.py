@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescribe.llm import decontaminate, language_id, simhash
+from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, simhash
 from kinescribe.llm.common import folded, read
 
 QUERIES = {}
@@ -28,6 +28,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+OP6_SQL = """
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         replace(replace(replace(replace(replace(replace(coalesce(text, ''), ' ', ''), chr(9), ''), chr(10), ''), chr(11), ''), chr(12), ''), chr(13), '') AS norm
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM texts WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)"""
+
+
+@query("op6_exact_dedup", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(read(spark, sf_dir, "documents")).drop("file", "row")
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -36,6 +51,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_language(held.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+OP9_SQL = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + 1 + 11 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&nl;'))
+           + length(replace(replace(text, '&', '&amp;'), '<', '&lt;'))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id"""
+
+
+@query("op9_chat_format", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    two = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), said)
+    done = chat.format_conversations(chat.threads(turns.union(two)), tree="conv_id")
+    read_back, learned = chat.messages(F.col("formatted")), chat.learned_text(F.col("formatted"), F.col("loss_spans"))
+    told = F.array_join(F.transform(read_back, lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size(read_back).cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
