@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, simhash
+from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, packing, simhash
 from kinescribe.llm.common import folded, read
 
 QUERIES = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query("op3_simhash")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
