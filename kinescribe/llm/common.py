@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescribe.plans.staging import stage
+from kinescribe.plans.staging import fresh_folder
 
 __all__ = ["folded", "id_text", "read", "stage", "with_row"]
 
 
+def stage(df: DataFrame, *parts: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder, in folders by ``parts``, and return what reads it back."""
+    spark = df.sparkSession
+    path = f"{fresh_folder(spark, 'stages')}/rows"
+    df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, packing, simhash
+from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, packing, simhash, token_counts
 from kinescribe.llm.common import folded, read
 
 QUERIES = {}
@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"))
