@@ -41,7 +41,9 @@ BATCH = 1 << 13
 
 #: Where no other white space is in a text, splitting there never divides a pre-token.
 _CHUNK = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
-_OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+#: White space beyond ASCII's and what some libraries count as such.
+_OTHER = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
+_OTHER_BLANK = re.compile("[" + "".join(map(chr, _OTHER)) + "]")
 
 
 @lru_cache(maxsize=2)
