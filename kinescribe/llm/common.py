@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinescribe.plans.staging import fresh_folder
 
-__all__ = ["folded", "id_text", "read", "stage", "with_row"]
+__all__ = ["folded", "id_text", "maybe_in", "read", "stage", "with_row"]
 
 
 def stage(df: DataFrame, *parts: str) -> DataFrame:
@@ -38,3 +38,19 @@ def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     It follows the place of the row in its partition, so stage the result before it is read more than once.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+#: Size of the filter below; a power of two from 32,768 on. With more keys than that it passes more rows, but no fewer.
+BITMAP_BITS = 1 << 24
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``keys``: all that are, and few others.
+
+    A filter to be used before a shuffle. It sets a bit per key; what is broadcast are at most BITMAP_BITS / 32768 rows of 4 KB.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+    bits = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    asked = df.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit))
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    return asked.join(F.broadcast(bits), "_bucket").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*df.columns)

@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing.
 
 Words are hashed (a polynomial over their bytes, computed for a whole slice of texts at once), ``GRAM``
-consecutive words form a gram, and of every ``WINDOW`` consecutive grams the smallest hash is kept (the last
+consecutive words form a gram, and of the grams of every ``SPAN`` consecutive words the smallest hash is kept (the last
 one of equals). Two texts that share a window of ``SPAN`` words share all grams in it and so at least one kept
 gram: each shared window is found. Texts and benchmark items are winnowed alike, joined on the hash, and
 every hit is extended word by word to both sides, as far as one window reaches; what then covers ``SPAN``
@@ -22,7 +22,6 @@ count once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,111 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinescribe.llm.common import stage, with_row
+from kinescribe.llm.word_hashes import Slice, slices
 
 #: Words of a window: what counts as shared.
 SPAN = 10
 GRAM = 5
-#: Consecutive grams of which the smallest is kept; every span of GRAM + WINDOW - 1 words is then found.
-WINDOW = SPAN - GRAM + 1
 BITMAP_BITS = 1 << 24
-#: Bytes of text handled at a time; a longer text is one slice.
-SLICE = 1 << 20
-
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-@lru_cache(maxsize=1)
-def _alphabet() -> np.ndarray:
-    """For every byte: 0 outside of words, else the byte with A-Z as a-z. Words hold 0-9, letters and all beyond ASCII."""
-    table = np.zeros(256, np.uint8)
-    for c in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
-        table[c] = c
-    for c in range(0x41, 0x5B):
-        table[c] = c + 32
-    return table
-
-
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _P))])
-        down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, inverse))])
-    return up, down
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-class Slice:
-    """Words of consecutive texts: bytes, first and end byte, hash, and the first word of each text (plus the end)."""
-
-    def __init__(self, texts: list[bytes]):
-        self.data = _alphabet()[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)]
-        inside = self.data > 0
-        edges = np.flatnonzero(np.diff(inside, prepend=False))
-        self.first, self.end = edges[0::2], edges[1::2]
-        step = 1 << (int(len(self.data)).bit_length())
-        up, down = _powers(step)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.data.astype(np.uint64) * up[: len(self.data)])])
-        self.hash = _mixed((sums[self.end] - sums[self.first]) * down[self.first])
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.words = np.searchsorted(self.first, starts)
-
-    def grams(self, size: int) -> np.ndarray:
-        """Hash of the ``size`` words that start at each word; the last ones of the slice are left out."""
-        n = max(0, len(self.hash) - size + 1)
-        h = np.full(n, size, np.uint64)
-        for k in range(size):
-            h = h * _P + self.hash[k : k + n]
-        return _mixed(h)
-
-    def left(self, size: int) -> np.ndarray:
-        """For each word, the words of its text from there on, less ``size``: negative if too few."""
-        return np.repeat(self.words[1:], np.diff(self.words)) - np.arange(len(self.hash)) - size
-
-    def kept(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the winnowed grams."""
-        grams = self.grams(GRAM)
-        n = len(grams) - WINDOW + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        low, at = grams[:n].copy(), np.zeros(n, np.int64)
-        for k in range(1, WINDOW):
-            smaller = grams[k : k + n] <= low
-            low = np.where(smaller, grams[k : k + n], low)
-            at[smaller] = k
-        whole = self.left(SPAN)[:n] >= 0
-        places = np.unique((np.arange(n) + at)[whole])
-        return places, grams[places]
-
-    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of all runs of ``size`` words."""
-        grams = self.grams(size)
-        places = np.flatnonzero(self.left(size)[: len(grams)] >= 0)
-        return places, grams[places]
-
-    def text(self, a: int, b: int) -> str:
-        """Words a to b - 1, joined by blanks."""
-        return b" ".join(self.data[i:j].tobytes() for i, j in zip(self.first[a:b], self.end[a:b])).decode("utf-8", "replace")
-
-
-def slices(texts: list[str | None]) -> Iterator[tuple[int, Slice]]:
-    """(number of the first text, slice) over consecutive texts."""
-    held: list[bytes] = []
-    start = size = 0
-    for i, text in enumerate(texts):
-        held.append((text or "").encode("utf-8", "surrogatepass"))
-        size += len(held[-1]) + 1
-        if size >= SLICE:
-            yield start, Slice(held)
-            held, start, size = [], i + 1, 0
-    if held:
-        yield start, Slice(held)
 
 
 def _among(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -148,18 +48,21 @@ _FOUND = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(_HIT))])
 _FOUND_SQL = "n_words long, hits array<struct<size: int, hash: long, place: long, before: array<string>, gram: string, after: array<string>>>"
 
 
-def _hit(piece: Slice, a: int, b: int, size: int, at: int, h: np.uint64) -> dict:
-    """The gram at word ``at`` of the text with words a to b - 1; ``before`` runs backwards."""
-    around = SPAN - size if size == GRAM else 0
-    words = lambda i, j: piece.text(i, j).split(" ") if i < j else []
+def _hit(piece: Slice, a: int, b: int, label: int, at: int, h: np.uint64) -> dict:
+    """The run of ``abs(label)`` words at word ``at`` of the text with words a to b - 1.
+
+    A winnowed gram has the words around it that one window can reach; ``before`` runs backwards. A short window has none.
+    """
+    end = at + abs(label)
+    around = SPAN - label if label > 0 else 0
+
+    def words(i: int, j: int) -> list[str]:
+        return piece.text(i, j).split(" ") if i < j else []
+
     return {
-        "size": size,
-        "hash": int(h.astype(np.int64)),
-        "place": at - a,
-        "before": words(max(a, at - around), at)[::-1],
-        "gram": piece.text(at, at + size),
-        "after": words(at + size, min(b, at + size + around)),
-    }
+        "size": label, "hash": int(h.astype(np.int64)), "place": at - a,
+        "before": words(max(a, at - around), at)[::-1], "gram": piece.text(at, end), "after": words(end, min(b, end + around)),
+    }
 
 
 def _scan(texts: list[str | None], kept, short) -> pa.Array:
@@ -170,22 +73,16 @@ def _scan(texts: list[str | None], kept, short) -> pa.Array:
         for i, (a, b) in enumerate(zip(edges, edges[1:])):
             out[first + i]["n_words"] = b - a
         for size in (None, *short):
-            places, hashes = piece.kept() if size is None else piece.runs(size)
+            places, hashes = piece.kept(GRAM, SPAN) if size is None else piece.runs(size)
             good = kept(hashes)
             places, hashes = places[good], hashes[good]
             # A short window may have GRAM words too; a negative size marks it.
             label = GRAM if size is None else -size
             for i, at, h in zip((np.searchsorted(piece.words, places, "right") - 1).tolist(), places.tolist(), hashes):
-                hit = _hit(piece, edges[i], edges[i + 1], size or GRAM, at, h) if size is None else _short(piece, edges[i], size, at, h)
-                hit["size"] = label
-                out[first + i]["hits"].append(hit)
+                out[first + i]["hits"].append(_hit(piece, edges[i], edges[i + 1], label, at, h))
     return pa.array(out, _FOUND)
 
 
-def _short(piece: Slice, a: int, size: int, at: int, h: np.uint64) -> dict:
-    return {"size": size, "hash": int(h.astype(np.int64)), "place": at - a, "before": [], "gram": piece.text(at, at + size), "after": []}
-
-
 def _item_windows(texts: pa.Array) -> pa.Array:
     """All winnowed grams of a benchmark item; for a short item, its one window."""
     out = []

@@ -8,8 +8,8 @@ Copies are combined before the shuffle, so a group with a third of all rows cost
 
 A digest with more than one row is a hit, and hits are compared by their full normalised bytes: the smallest and the
 largest text per digest are found with a partial aggregation in each task. Where they differ (a collision of the
-digest), the rows are grouped by the bytes themselves. Only texts of hits are moved: a bitmap of ``BITMAP_BITS`` bits,
-broadcast as a table of that fixed size, drops nearly all other rows before the shuffle.
+digest), the rows are grouped by the bytes themselves. Only texts of hits are moved: a bitmap,
+broadcast as a table of fixed size, drops nearly all other rows before the shuffle.
 
 Edge cases: a null text counts as empty. Rows are told apart by their locator, so repeated rows are copies of each
 other. Of rows with equal length and equal id, the first by locator stays; a null id comes last. Other columns of the
@@ -24,12 +24,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import stage
+from kinescribe.llm.common import maybe_in, stage
 from kinescribe.plans.staging import fresh_folder
 
-#: Size of the filter for hits; a power of two from 32,768 on. More hits pass more rows, but stay right.
-BITMAP_BITS = 1 << 24
-
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -93,25 +90,11 @@ def digest_state(marked: DataFrame, folder: str) -> DataFrame:
     return spark.read.parquet(done[-1])
 
 
-def _bit(digest: str) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(BITMAP_BITS))
-
-
-def _maybe_hits(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose digest may be in ``hits``: all that are, and few others."""
-    bit = _bit("digest")
-    bits = hits.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    # At most BITMAP_BITS / 32768 rows of 4 KB.
-    asked = texts.withColumn("bucket", F.bitmap_bucket_number(bit)).withColumn("at", F.bitmap_bit_position(bit))
-    byte = F.conv(F.hex(F.expr("substring(bits, CAST(at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    met = asked.join(F.broadcast(bits), "bucket").where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1)
-    return met.select(*texts.columns)
-
-
 def _collisions(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests among ``hits`` that stand for several different texts."""
     texts = docs.select(F.col("norm"), digest(F.col("norm")).alias("digest"))
-    met = _maybe_hits(texts, hits).join(hits, "digest", "left_semi")
+    # An inner join (a digest is in hits once): a semi join would be pushed below the filter.
+    met = maybe_in(texts, hits, "digest").join(hits, "digest")
     ends = met.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     return ends.where("low <> high").select("digest")
 
