@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, packing, sharding, simhash, token_counts
+from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, packing, sharding, simhash, token_counts, toxicity
 from kinescribe.llm.common import folded, read
 
 QUERIES = {}
@@ -59,6 +59,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(read(spark, sf_dir, "documents")).drop("file", "row")
 
 
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (folded("doc_id", 5) == 0).alias("held_out"))
+    model = toxicity.train_toxicity(docs.where("NOT held_out"), read(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).drop("text")
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
