@@ -66,23 +66,25 @@ def learned_text(formatted: Column, loss_spans: Column) -> Column:
 
 
 def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (tree, node, to) of jumps of 1, 2, 4, ... steps, and (tree, node, depth, total) of all rooted messages."""
-    known = nodes.select("tree", F.col("node").alias("to"))
-    step = nodes.select("tree", "node", F.col("parent").alias("to"), "score").join(known.withColumn("found", F.lit(True)), ["tree", "to"], "left")
+    """Tables (tree, node, to) of jumps of 1, 2, 4, ... steps, and (tree, node, depth, total) of all rooted messages.
+
+    Messages whose jump has reached the root take no part in later rounds.
+    """
+    known = nodes.select("tree", F.col("node").alias("to"), F.lit(True).alias("found"))
+    step = nodes.select("tree", "node", F.col("parent").alias("to"), "score").join(known, ["tree", "to"], "left")
     step = stage(step.select("tree", "node", F.when(F.col("found"), F.col("to")).alias("to"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))
     rounds = math.ceil(math.log2(max(2, step.count()))) + 1
-    tables = []
+    rooted, active, tables = step.where("to IS NULL"), step.where("to IS NOT NULL"), []
     for _ in range(rounds):
-        tables.append(step.where("to IS NOT NULL").select("tree", "node", "to"))
-        if tables[-1].isEmpty():
-            tables.pop()
+        if active.isEmpty():
             break
-        above = step.select("tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("total").alias("sum"))
-        met = step.join(above, ["tree", "to"], "left")
-        step = stage(met.select(
-            "tree", "node", F.col("next").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"),
-        ))
-    return tables, step.where("to IS NULL").select("tree", "node", "depth", "total")
+        tables.append(active.select("tree", "node", "to"))
+        state = rooted.union(active)
+        above = state.select("tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("total").alias("sum"))
+        step = active.join(above, ["tree", "to"]).select("tree", "node", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("sum")).alias("total"))
+        step = stage(step)
+        rooted, active = rooted.union(step.where("to IS NULL")), step.where("to IS NOT NULL")
+    return tables, rooted.select("tree", "node", "depth", "total")
 
 
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
