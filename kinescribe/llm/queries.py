@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, packing, sharding, simhash, token_counts, toxicity
+from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, licenses, packing, sharding, simhash, token_counts, toxicity
 from kinescribe.llm.common import folded, read
 
 QUERIES = {}
@@ -39,6 +39,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.inline("licenses"))
+
+
 @query("op5_sharding")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
