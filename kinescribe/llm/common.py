@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinescribe.plans.staging import fresh_folder
 
-__all__ = ["folded", "id_text", "maybe_in", "read", "stage", "with_row"]
+__all__ = ["PLACE", "folded", "id_text", "located", "maybe_in", "read", "stage", "with_place", "with_row", "without"]
+
+#: Columns that tell rows apart by where they are stored.
+PLACE = ["_file", "_place"]
 
 
 def stage(df: DataFrame, *parts: str) -> DataFrame:
@@ -54,3 +58,22 @@ def maybe_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     asked = df.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit))
     byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
     return asked.join(F.broadcast(bits), "_bucket").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*df.columns)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` as a scan of files; anything else is written to the shared folder first."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return stage(docs)
+    return docs
+
+
+def with_place(docs: DataFrame) -> DataFrame:
+    """The columns of a scan of files and ``PLACE``: file and number of the row in it, the same in every run."""
+    return docs.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of a scan of files but for the places in ``dropped``."""
+    return with_place(docs).join(stage(dropped.select(*PLACE)), PLACE, "left_anti").select(*docs.columns)

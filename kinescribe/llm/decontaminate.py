@@ -21,14 +21,14 @@ count once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import stage, with_row
+from kinescribe.llm.common import PLACE, located, stage, with_place, with_row, without
 from kinescribe.llm.word_hashes import Slice, slices
 
 #: Words of a window: what counts as shared.
@@ -113,8 +113,8 @@ def _common(a: str, b: str, n: int):
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``n_words``, ``spans`` (disjoint ranges of hit words: start, end), ``n_hit`` and ``item_ids`` (strings, sorted)."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: ``doc_id``, the columns ``carry``, ``n_words``, ``spans`` (disjoint ranges of hit words: start, end), ``n_hit`` and ``item_ids`` (strings, sorted)."""
     spark = docs.sparkSession
     items = stage(with_row(benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), "item_row"))
     hits = items.select("item", "item_row", F.inline(F.arrow_udf(_item_windows, _FOUND_SQL)("text")["hits"]))
@@ -130,8 +130,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         known = shared.value
         return _scan(texts.to_pylist(), lambda h: _among(h, known), sorted(short))
 
-    rows = with_row(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")))
-    rows = stage(rows.select("_row", "doc_id", scanned("text").alias("f")).select("_row", "doc_id", "f.*"))
+    rows = with_row(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *carry))
+    rows = stage(rows.select("_row", "doc_id", *carry, scanned("text").alias("f")).select("_row", "doc_id", *carry, "f.*"))
 
     d = rows.where(F.size("hits") > 0).select("_row", F.inline("hits")).alias("d")
     p = passages.alias("p")
@@ -148,9 +148,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     spans = opens.withColumn("span", F.sum("opens").over(order)).groupBy("_row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     spans = spans.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     ids = met.select("_row", "passage").distinct().join(of_items, "passage").groupBy("_row").agg(F.array_sort(F.collect_set(F.coalesce("item", F.lit("")))).alias("item_ids"))
-    out = rows.select("_row", "doc_id", "n_words").join(spans, "_row", "left").join(ids, "_row", "left")
+    out = rows.select("_row", "doc_id", *carry, "n_words").join(spans, "_row", "left").join(ids, "_row", "left")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return out.select(
-        F.col("doc_id").alias(doc_id), "n_words", F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans"),
+        F.col("doc_id").alias(doc_id), *carry, "n_words", F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans"),
         F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows that share a window with a benchmark item."""
+    docs = located(docs)
+    found = find_contamination(with_place(docs), benchmark, doc_id, text, item_id, item_text, PLACE)
+    return without(docs, found.where("n_hit > 0"))

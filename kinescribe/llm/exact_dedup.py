@@ -20,11 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import maybe_in, stage
+from kinescribe.llm.common import PLACE, located, maybe_in, stage, with_place, without
 from kinescribe.plans.staging import fresh_folder
 
 _STATE = {
@@ -35,7 +34,6 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
-_PLACE = ["file", "row"]
 
 
 def normalised(text: Column) -> Column:
@@ -50,19 +48,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` as a scan of files; anything else is written to the shared folder first."""
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:
-        return stage(docs)
-    return docs
-
-
-def _place() -> list[Column]:
-    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-
-
 def digest_state(marked: DataFrame, folder: str) -> DataFrame:
     """Streaming step: (digest, group_size, keep) for all digests in the state once it has seen the files of ``marked``.
 
@@ -82,7 +67,7 @@ def digest_state(marked: DataFrame, folder: str) -> DataFrame:
 
     try:
         rows = spark.readStream.schema(marked.schema).parquet(table)
-        rank = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *_PLACE)
+        rank = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *PLACE)
         state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("keep"))
         writer = state.writeStream.outputMode("complete").option("checkpointLocation", folder).trigger(availableNow=True)
         writer.foreachBatch(publish).start().awaitTermination()
@@ -102,31 +87,29 @@ def _collisions(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Col
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, and its locator ``file`` and ``row``."""
+    """One row per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, and its locator (``PLACE``)."""
     docs = located(docs)
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *_place())
+    rows = with_place(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *PLACE)
     rows = rows.withColumn("norm", normalised(F.col("text")))
     facts = [F.length("text").cast("long").alias("n_chars"), sha256(F.col("norm")).alias("text_sha256")]
-    marked = stage(rows.select("doc_id", *_PLACE, *facts, digest(F.col("norm")).alias("digest")))
+    marked = stage(rows.select("doc_id", *PLACE, *facts, digest(F.col("norm")).alias("digest")))
     state = digest_state(marked, f"{fresh_folder(spark, 'streams')}/state")
     hits = state.where("group_size > 1").select("digest")
     collided = stage(_collisions(rows, hits, digest))
 
     result = marked.join(state, "digest")
     if not collided.isEmpty():
-        rank = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *_PLACE)
-        mixed = rows.select("doc_id", *_PLACE, *facts, "norm", digest(F.col("norm")).alias("digest")).join(collided, "digest", "left_semi")
+        rank = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *PLACE)
+        mixed = rows.select("doc_id", *PLACE, *facts, "norm", digest(F.col("norm")).alias("digest")).join(collided, "digest", "left_semi")
         groups = mixed.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("keep"))
         split = mixed.join(groups, "norm").select(*result.columns)
         result = result.join(collided, "digest", "left_anti").select(*split.columns).union(split)
-    kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
-    return result.select(F.col("doc_id").alias(doc_id), F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", *_PLACE)
+    kept = (F.col(PLACE[0]) == F.col("keep")[PLACE[0]]) & (F.col(PLACE[1]) == F.col("keep")[PLACE[1]])
+    return result.select(F.col("doc_id").alias(doc_id), F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", *PLACE)
 
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     docs = located(docs)
-    dropped = stage(deduplicate(docs, doc_id, text).where("NOT kept").select(F.col("file").alias("_file"), F.col("row").alias("_row")))
-    placed = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return placed.join(dropped, ["_file", "_row"], "left_anti").select(*docs.columns)
+    return without(docs, deduplicate(docs, doc_id, text).where("NOT kept"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, licenses, packing, sharding, simhash, token_counts, toxicity
-from kinescribe.llm.common import folded, read
+from kinescribe.llm.common import PLACE, folded, read
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -61,7 +61,7 @@ FROM texts WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)"""
 
 @query("op6_exact_dedup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(read(spark, sf_dir, "documents")).drop("file", "row")
+    return exact_dedup.deduplicate(read(spark, sf_dir, "documents")).drop(*PLACE)
 
 
 @query("op7_toxicity")

@@ -16,13 +16,15 @@ a skewed join key, which adaptive execution splits.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import stage
+from kinescribe.llm.common import PLACE, located, stage, with_place, without
 from kinescribe.llm.components import connected_components
 
 BITS = 64
@@ -124,17 +126,30 @@ def linked_fingerprints(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame
     return joined.select("fp", F.coalesce(merged["component"], rough["component"]).alias("component"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row per document: ``doc_id``, ``fingerprint`` (long) and ``component_id``.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: ``doc_id``, ``fingerprint`` (long), ``component_id``, and the columns ``carry``.
 
     ``component_id`` is the smallest id that can be reached over links, the document's own included. A null
     or blank text has fingerprint 0 and is linked like any other. Repeated rows stay repeated. A document
     without an id links others but never names a component, unless no member has an id: then it is null.
     """
-    marked = docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(fingerprints, "long")(F.col(text).cast("string")).alias("fp"))
+    return _classes(docs, doc_id, text, distance, carry).drop("_component")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, distance: int, carry: Sequence[str]) -> DataFrame:
+    """As above, with the smallest fingerprint of the component as ``_component``."""
+    marked = docs.select(F.col(doc_id).alias("_id"), F.arrow_udf(fingerprints, "long")(F.col(text).cast("string")).alias("fp"), *carry)
     marked = stage(marked)
-    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    nodes = stage(marked.groupBy("fp").agg(F.min("_id").alias("first_id")))
     classes = stage(linked_fingerprints(nodes, distance))
     names = nodes.join(classes, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(names, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("doc_id").alias(doc_id), F.col("fp").alias("fingerprint"), "component_id")
+    named = classes.join(names, "component").select("fp", "component_id", F.col("component").alias("_component"))
+    return marked.join(named, "fp").select(F.col("_id").alias(doc_id), F.col("fp").alias("fingerprint"), "component_id", *carry, "_component")
+
+
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id, of several the first by place."""
+    docs = located(docs)
+    rows = stage(_classes(with_place(docs), doc_id, text, distance, PLACE).select(F.col(doc_id).alias("id"), "_component", *PLACE))
+    best = rows.groupBy("_component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", *PLACE)).alias("k"))
+    return without(docs, rows.join(best.select("k." + PLACE[0], "k." + PLACE[1]), PLACE, "left_anti"))
