@@ -7,16 +7,23 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+
 #: Runs whose ids are remembered; the cache starts anew when it is full.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 19
 #: Bytes of a text split at a time.
 PART = 1 << 20
 
+#: Runs given to the tokenizer in one text.
+TOGETHER = 1 << 9
+
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: A full stop or comma at the end of such a run is a pre-token of its own.
+_MARKED = re.compile(rb"[^\x80-\xff]*[a-z0-9][.,]")
 
 
 class WordIds:
-    """Ids by a tokenizer whose pieces never cross ASCII white space and which drops it.
+    """Ids by a tokenizer whose pre-tokens never hold white space, and which folds case and white space.
 
     That holds for ``word_bpe_49k.json``: white space becomes a blank, which no pre-token contains. The ids of a text
     are then those of its runs, one after the other. Ids are kept as little-endian unsigned 32-bit numbers.
@@ -30,27 +37,49 @@ class WordIds:
         self.cache: dict[bytes, bytes] = {}
 
     def _learn(self, runs: list[bytes]) -> None:
-        if len(self.cache) + len(runs) > REMEMBERED:
-            self.cache.clear()
-        found = self.tokenizer.encode_batch([r.decode() for r in runs], add_special_tokens=False)
-        for run, ids in zip(runs, found):
-            self.cache[run] = b"".join(i.to_bytes(4, "little") for i in ids.ids)
+        """Put runs, each given once, into the cache."""
+        cache = self.cache
+        if len(cache) + 2 * len(runs) > REMEMBERED:
+            cache.clear()
+        marked = [r for r in runs if _MARKED.fullmatch(r)]
+        if marked:
+            bare = {r[:-1] for r in marked}.union(r[-1:] for r in marked).union(set(runs).difference(marked))
+            runs = [r for r in bare if r not in cache]
+        for at in range(0, len(runs), TOGETHER):
+            part = runs[at : at + TOGETHER]
+            words = [r.decode() for r in part]
+            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+            # A token lies in the run in which it starts.
+            places = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            edges = (np.searchsorted(places, starts) * 4).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            for run, a, b in zip(part, edges, edges[1:]):
+                cache[run] = ids[a:b]
+        for run in marked:
+            cache[run] = cache[run[:-1]] + cache[run[-1:]]
 
     def ids(self, text: str | None) -> bytes:
         """Ids of a text; null as empty."""
         out = []
         for part in _parts((text or "").encode()):
+            if b"<|" not in part:
+                # Strings of added tokens are told apart by case; all other text is folded anyway.
+                part = part.lower()
             runs = part.split()
-            new = [r for r in set(runs) if r not in self.cache]
-            if new:
-                # What a full cache has forgotten is learned with the rest, so that all runs are there below.
-                self._learn(new if len(self.cache) + len(new) <= REMEMBERED else list(set(runs)))
-            out += [self.cache[r] for r in runs]
+            found = list(map(self.cache.get, runs))
+            if None in found:
+                self._learn(list({r for r, ids in zip(runs, found) if ids is None}))
+                if None in (found := list(map(self.cache.get, runs))):
+                    # The cache was full and has been emptied.
+                    self._learn(list(set(runs)))
+                    found = [self.cache[r] for r in runs]
+            out += found
         return b"".join(out)
 
 
 def _parts(data: bytes) -> Iterator[bytes]:
-    """The bytes in parts that end at white space."""
+    """The bytes in parts that end before white space."""
     at = 0
     while at < len(data):
         cut = _BLANK.search(data, at + PART)
