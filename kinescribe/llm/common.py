@@ -11,7 +11,7 @@ from kinescribe.plans.staging import fresh_folder
 __all__ = ["PLACE", "folded", "id_text", "located", "maybe_in", "read", "stage", "with_place", "with_row", "without"]
 
 #: Columns that tell rows apart by where they are stored.
-PLACE = ["_file", "_place"]
+PLACE = ["_kinescribe_file", "_kinescribe_row"]
 
 
 def stage(df: DataFrame, *parts: str) -> DataFrame:

@@ -191,11 +191,11 @@ def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text")
     """``docs`` with ``lang_pred`` and ``score`` (probability of that language); columns of that name are replaced."""
     found: Column = predictor(docs.sparkSession, model)(F.col(text).cast("string"))
     plain = docs.drop("lang_pred", "score")
-    return plain.withColumn("_found", found).select(*plain.columns, "_found.lang_pred", "_found.score")
+    return plain.withColumn("_kinescribe_found", found).select(*plain.columns, "_kinescribe_found.lang_pred", "_kinescribe_found.score")
 
 
 def drop_unidentified(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` without the rows that have no language (``und``) or one with a probability below ``least``."""
-    found = F.col("_found")
-    marked = docs.withColumn("_found", predictor(docs.sparkSession, model)(F.col(text).cast("string")))
+    found = F.col("_kinescribe_found")
+    marked = docs.withColumn("_kinescribe_found", predictor(docs.sparkSession, model)(F.col(text).cast("string")))
     return marked.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least)).select(*docs.columns)

@@ -17,6 +17,7 @@ of their own. An empty table gives no rows. Other columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,11 +124,12 @@ def _assigned(units: Units, sizes: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard`` and ``slot`` (its place in the shard)."""
+def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` (its place in the shard) and the columns ``carry``."""
     bytes_ = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = with_row(docs.select(F.col(doc_id).alias("doc_id"), bytes_.alias("b")))
-    rows = rows.select("doc_id", "_row", (F.length("b") + 1).cast("long").alias("size"), F.crc32("b").alias("text_crc32"), F.xxhash64("b").alias("key"))
+    carried = F.struct(*carry, F.lit(0).alias("_")).alias("carried")
+    rows = with_row(docs.select(F.col(doc_id).alias("doc_id"), bytes_.alias("b"), carried))
+    rows = rows.select("doc_id", "carried", "_row", (F.length("b") + 1).cast("long").alias("size"), F.crc32("b").alias("text_crc32"), F.xxhash64("b").alias("key"))
     rows = stage(rows.withColumn("salt", F.xxhash64("_row")))
     groups = stage(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
@@ -152,5 +154,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     ranked = placed.withColumn("rank", rank).withColumn("place", F.arrow_udf(first_slot, "shard int, base long")("unit"))
     return ranked.select(
         F.col("doc_id").alias(doc_id), "size", "text_crc32", F.lit(LAW).alias("law"), F.col("place.shard").alias("shard"),
-        (F.col("place.base") + F.col("rank")).cast("long").alias("slot"),
+        (F.col("place.base") + F.col("rank")).cast("long").alias("slot"), *[F.col("carried")[c].alias(c) for c in carry],
     )
+
+
+def write_shards(sharded: DataFrame, path: str) -> None:
+    """Write rows of :func:`shard_documents` (with the columns to be stored carried along) as a folder per shard, in the order of their slots."""
+    ordered = sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.write.partitionBy("shard").parquet(path)
