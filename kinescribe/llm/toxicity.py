@@ -39,9 +39,11 @@ KINDS = (0, 4, 6)
 TERM_BUCKETS, FEATURES = 1 << 22, 1 << 18
 MOST_TERMS = 1 << 12
 STRONG, WEAK = 0.75, 0.35
-FIT_ROWS = 1 << 14
+FIT_ROWS = 1 << 13
+#: Rows of the sample whose features are unfolded at a time.
+FIT_BLOCK = 1 << 10
 PRIOR = 0.1
-EM_ROUNDS, FIT_ROUNDS = 50, 300
+EM_ROUNDS, FIT_ROUNDS = 50, 150
 #: Weight of the squared weights in the classifier's loss.
 PULL = 1e-5
 
@@ -107,7 +109,7 @@ def _lexicons(labelled: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
     z = 1.64
     # Wilson's lower bound of the share.
     low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    good = counted.withColumn("low", low).where((F.col("low") >= WEAK) & (F.col("t") >= 3))
+    good = stage(counted.withColumn("low", low).where((F.col("low") >= WEAK) & (F.col("t") >= 3)).select("kind", "bucket", "low"))
     strong, weak = [], []
     for k in range(len(KINDS)):
         best = good.where(F.col("kind") == k).orderBy(F.desc("low"), "bucket").limit(MOST_TERMS).toPandas()
@@ -211,21 +213,27 @@ def _values(owner: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
     return np.where(term, 1 / np.sqrt(size)[owner], 1.0)
 
 
-def _fit(owner: np.ndarray, features: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with a pull towards 0, by accelerated gradient descent."""
+def _fit(rows: list[bytes], target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with a pull towards 0, by accelerated gradient descent; rows hold their features as 32-bit numbers."""
     n = len(target)
-    values = _values(owner, features, n)
     # The slope changes by at most a quarter of the squared length of a row: terms 1, constant 1, votes.
     step = 4.0 / (2 + VOTERS)
     at = np.zeros(FEATURES + VOTERS + 1)
-    at[-1] = np.log((target.sum() + 0.5) / (n - target.sum() + 0.5))
+    at[-1] = np.log((target.sum() + PRIOR) / (n - target.sum() + 1 - PRIOR))
     before = at
     for k in range(1, FIT_ROUNDS + 1):
         ahead = at + (k - 1) / (k + 2) * (at - before)
-        z = np.bincount(owner, weights=ahead[features] * values, minlength=n) + ahead[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        slope = np.append(np.bincount(features, weights=error[owner] * values, minlength=len(at) - 1), error.sum()) / n
-        slope[:-1] += PULL * ahead[:-1]
+        slope = PULL * ahead
+        slope[-1] = 0.0
+        for first in range(0, n, FIT_BLOCK):
+            part = rows[first : first + FIT_BLOCK]
+            features = np.frombuffer(b"".join(part), "<u4").astype(np.int64)
+            owner = np.repeat(np.arange(len(part)), [len(r) // 4 for r in part])
+            values = _values(owner, features, len(part))
+            z = np.bincount(owner, weights=ahead[features] * values, minlength=len(part)) + ahead[-1]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[first : first + FIT_BLOCK]) / n
+            slope[:-1] += np.bincount(features, weights=error[owner] * values, minlength=len(at) - 1)
+            slope[-1] += error.sum()
         before, at = at, ahead - step * slope
     return at[:-1], float(at[-1])
 
@@ -238,13 +246,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     labelled = maybe_in(rows, known, "doc_id").join(known, "doc_id").select("text", "toxic")
     strong, weak = _lexicons(labelled)
 
-    def vote(texts: pa.Array) -> pa.Array:
-        return pa.array(votes_of(texts.to_pylist(), strong, weak))
+    def vote(texts: pa.Array, sampled: pa.Array) -> pa.Array:
+        values = texts.to_pylist()
+        votes = votes_of(values, strong, weak)
+        chosen = np.flatnonzero(sampled.to_numpy(zero_copy_only=False))
+        owner, features = _features([values[i] for i in chosen.tolist()], votes[chosen])
+        edges = np.searchsorted(owner, np.arange(len(chosen) + 1))
+        found: list[bytes | None] = [None] * len(values)
+        for i, a, b in zip(chosen.tolist(), edges.tolist(), edges[1:].tolist()):
+            found[i] = features[a:b].astype("<u4").tobytes()
+        return pa.StructArray.from_arrays([pa.array(votes), pa.array(found, pa.binary())], ["votes", "features"])
 
     n = rows.count()
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.lit(int(min(1.0, FIT_ROWS / max(1, n)) * (1 << 40)))
-    voted = rows.withColumn("sample", F.when(part, F.col("text"))).withColumn("votes", F.arrow_udf(vote, "long")("text"))
-    voted = stage(voted.select("doc_id", "votes", "sample"))
+    voted = rows.select("doc_id", F.xxhash64("text").alias("h"), F.arrow_udf(vote, "votes long, features binary")("text", part).alias("v"))
+    voted = stage(voted.select("doc_id", "h", "v.*"))
     told = voted.select("doc_id", "votes").join(known, "doc_id", "left").groupBy("votes").agg(
         *[F.count(F.when(F.col("toxic") == c, 1)).alias(f"n{c}") for c in (0, 1)], F.count(F.when(F.col("toxic").isNull(), 1)).alias("n2")
     ).orderBy("votes").toPandas()
@@ -254,10 +270,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     posterior = label_model(patterns, counts)
 
     # About FIT_ROWS rows, by the chance above.
-    chosen = voted.where("sample IS NOT NULL").join(known, "doc_id", "left").orderBy(F.xxhash64("sample"), "doc_id").toPandas()
+    chosen = voted.where("features IS NOT NULL").join(known, "doc_id", "left").orderBy("h", "doc_id").toPandas()
     target = np.where(chosen["toxic"].notna(), chosen["toxic"].fillna(0), posterior[np.searchsorted(patterns, chosen["votes"])]).astype(float)
-    owner, features = _features(chosen["sample"].tolist(), chosen["votes"].to_numpy(np.int64))
-    weights, constant = _fit(owner, features, target) if len(target) else (np.zeros(FEATURES + VOTERS), float(np.log(PRIOR / (1 - PRIOR))))
+    weights, constant = _fit([bytes(r) for r in chosen["features"]], target)
     return ToxicityModel(strong, weak, weights.astype(np.float32), constant)
 
 
