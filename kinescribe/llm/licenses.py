@@ -1,8 +1,8 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment measures them.
 
 The templates' words are winnowed into an inverted index (hash of ``GRAM`` words to template and place), which is
-shared with all tasks; its size is checked (``MOST_WORDS``). A text is winnowed alike. Hits of one template on nearby
-diagonals (place in the text less place in the template) are one candidate. For each, the template is aligned with the
+shared with all tasks; its size is checked (``MOST_WORDS``). A text is winnowed alike. Hits that go on in
+a template on nearby diagonals (place in the text less place in the template) are one candidate. For each, the template is aligned with the
 text around the candidate: a dynamic program over a band of ``BAND`` diagonals on both sides finds the most words that
 match in order, ties going to the shortest span. A match is reported if at least ``COVERAGE`` of the template's words match.
 
@@ -92,7 +92,7 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAN
     """(matches, first word, end) of the best alignment of all of ``template`` within the band around ``diagonal`` in ``text``.
 
     Only places of the text with ``abs(text place - template place - diagonal) <= band`` are compared. The columns of the
-    program are the offsets in the band; of equal numbers of matches, the latest start, then the earliest end is taken.
+    program are the offsets in the band; of equal numbers of matches, the earliest end, then the latest start is taken.
     """
     width = 2 * band + 1
     score, start, end = [0] * width, [-1] * width, [-1] * width
@@ -106,51 +106,64 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAN
             if 0 <= j < n and text[j] == word:
                 first = start[c] if score[c] else j
                 new[c], new_start[c], new_end[c] = score[c] + 1, first, j + 1
-            if c + 1 < width and (score[c + 1], start[c + 1], -end[c + 1]) > (new[c], new_start[c], -new_end[c]):
+            if c + 1 < width and (score[c + 1], -end[c + 1], start[c + 1]) > (new[c], -new_end[c], new_start[c]):
                 new[c], new_start[c], new_end[c] = score[c + 1], start[c + 1], end[c + 1]
-            if c and (new[c - 1], new_start[c - 1], -new_end[c - 1]) > (new[c], new_start[c], -new_end[c]):
+            if c and (new[c - 1], -new_end[c - 1], new_start[c - 1]) > (new[c], -new_end[c], new_start[c]):
                 new[c], new_start[c], new_end[c] = new[c - 1], new_start[c - 1], new_end[c - 1]
         score, start, end = new, new_start, new_end
-    best = max(range(width), key=lambda c: (score[c], start[c], -end[c]))
+    best = max(range(width), key=lambda c: (score[c], -end[c], start[c]))
     return score[best], start[best], end[best]
 
 
-def _candidates(index: Index, piece: Slice) -> Iterator[tuple[int, int, int]]:
-    """(text, template, diagonal in the text) of each group of hits."""
-    for grams in (piece.kept(GRAM, SPAN), *(piece.runs(size) for size in index.short)):
-        places, hashes = grams
+def _hits(index: Index, piece: Slice) -> Iterator[tuple[int, int, int, int]]:
+    """(text, template, place in the text, place in the template) of equal grams, in this order."""
+    found = []
+    for places, hashes in (piece.kept(GRAM, SPAN), *(piece.runs(size) for size in index.short)):
         low, high = np.searchsorted(index.hashes, hashes, "left"), np.searchsorted(index.hashes, hashes, "right")
         hit = high > low
-        places, low, high = places[hit], low[hit], high[hit]
-        size = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else low, size) + np.arange(size.sum())
+        places, low, size = places[hit], low[hit], (high - low)[hit]
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
         place = np.repeat(places, size)
         text = np.searchsorted(piece.words, place, "right") - 1
-        template, diagonal = index.template[at], place - piece.words[text] - index.place[at]
-        order = np.lexsort((diagonal, template, text))
-        last = None
-        for t, m, d in zip(text[order].tolist(), template[order].tolist(), diagonal[order].tolist()):
-            if last is None or last[:2] != (t, m) or d > last[2] + BAND:
-                last = (t, m, d)
-                yield last
+        found.append((text, index.template[at], place - piece.words[text], index.place[at]))
+    columns = [np.concatenate(c) for c in zip(*found)]
+    order = np.lexsort(columns[::-1])
+    yield from zip(*(c[order].tolist() for c in columns))
+
+
+def _candidates(index: Index, piece: Slice) -> Iterator[tuple[int, int, int]]:
+    """(text, template, diagonal) of each group of hits that go on in the template near the diagonal of the first."""
+    groups: list[list[int]] = []
+    of = None
+    for text, template, place, t_place in _hits(index, piece):
+        if of != (text, template):
+            of, groups = (text, template), []
+        # A group that began a template's length ago cannot go on.
+        groups = [g for g in groups if place - g[0] <= len(index.words[template]) + BAND]
+        group = next((g for g in groups if abs(place - t_place - g[0]) <= BAND and t_place > g[1]), None)
+        if group:
+            group[1] = t_place
+        else:
+            groups.append([place - t_place, t_place])
+            yield text, template, place - t_place
 
 
 def scan(texts: list[str | None], index: Index, coverage: float = COVERAGE) -> list[list[dict]]:
-    """Matches of each text, one per template and place, ordered by place."""
+    """Matches of each text, ordered by place; matches of one template do not overlap."""
     out: list[list[dict]] = [[] for _ in texts]
     for first, piece in slices(texts):
-        seen = set()
+        ends: dict[tuple[int, int], int] = {}
         for text, template, diagonal in _candidates(index, piece):
             a, b = int(piece.words[text]), int(piece.words[text + 1])
             words = index.words[template]
-            around = max(0, diagonal - BAND)
-            part = piece.hash[a + around : min(b, a + diagonal + len(words) + BAND)]
-            matches, start, end = align(part, words, diagonal - around)
-            if matches < coverage * len(words) or (text, template, start + around) in seen:
+            low = max(0, diagonal - BAND, ends.get((text, template), 0))
+            part = piece.hash[a + low : max(a + low, min(b, a + diagonal + len(words) + BAND))]
+            matches, start, end = align(part, words, diagonal - low)
+            if not matches or matches < coverage * len(words):
                 continue
-            seen.add((text, template, start + around))
+            ends[text, template] = low + end
             out[first + text].append({
-                "template": index.names[template], "matched": matches, "coverage": matches / len(words), "start": start + around, "end": end + around,
+                "template": index.names[template], "matched": matches, "coverage": matches / len(words), "start": low + start, "end": low + end,
             })
     for found in out:
         found.sort(key=lambda m: (m["start"], m["end"], m["template"]))
