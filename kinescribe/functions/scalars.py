@@ -63,7 +63,7 @@ def singular(word: Column) -> Column:
 def beautify_label(label: Column) -> Column:
     """"new_car_is_big" -> "New Car Big": parts longer than two letters, capitalised, the first three."""
     parts = F.filter(F.split(label, "_"), lambda w: F.length(w) > 2)
-    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
     words = F.transform(F.slice(parts, 1, 3), capital)
     return F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise("Topic")
 

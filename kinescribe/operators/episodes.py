@@ -265,20 +265,20 @@ def _power_spectrum(values: str) -> Column:
 
 
 def sparc(motion: DataFrame) -> DataFrame:
-    """Spectral arc length of each episode's speed profile (Welch spectrum), 0.0 for fewer than four speeds.
+    """Spectral arc length of each episode's speed profile (Welch spectrum); :func:`with_sparc` gives 0.0 below four speeds.
 
     The spectrum averages windows of at most 256 speeds that overlap by half, so no task ever holds more
     than one window of an episode.
     """
-    speeds = F.col("points") - 1
-    rows = motion.where(F.col("velocity").isNotNull() & (speeds >= 4)).withColumn("n", speeds)
-    block = F.floor(F.col("r") / HOP)
+    # Places among the speeds there are: points without time between them have none.
+    rows = dense_index(motion.where(F.col("velocity").isNotNull()), EPISODE, chunk_of("r"), ["r"], "k", "n").where(F.col("n") >= 4)
+    block = F.floor(F.col("k") / HOP)
     windows = F.greatest(F.lit(1), F.floor((F.col("n") - HOP) / HOP)).cast("bigint")
     home = F.when(F.col("n") < SEGMENT, F.array(F.lit(0).cast("bigint"))).otherwise(F.array(block - 1, block))
     spread = rows.withColumn("_windows", windows).withColumn("_w", F.explode(home))
     spread = spread.where((F.col("_w") >= 0) & (F.col("_w") < F.col("_windows")))
     series = spread.groupBy(*EPISODE, "_w").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("r", "velocity"))), lambda s: s["velocity"]).alias("v")
+        F.transform(F.sort_array(F.collect_list(F.struct("k", "velocity"))), lambda s: s["velocity"]).alias("v")
     )
     power = series.select(*EPISODE, F.posexplode(_power_spectrum("v")).alias("k", "p"))
     mean = power.groupBy(*EPISODE, "k").agg(F.avg("p").alias("p"))
@@ -331,8 +331,9 @@ def episode_metrics(features: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def episode_type_totals(features: DataFrame) -> DataFrame:
-    """Episodes by type: per session and hand, per session, and overall, in one pass."""
+    """Episodes by type: per session and hand (``totals`` 0), per session (1), and overall (3), in one pass."""
     rolled = features.groupBy("episode_type", "session_id", "hand").count()
-    return rolled.rollup("episode_type", "session_id", "hand").agg(F.sum("count").alias("episodes")).where(
-        F.col("episode_type").isNotNull()
+    totals = F.grouping_id().cast("int")
+    return rolled.rollup("episode_type", "session_id", "hand").agg(F.sum("count").alias("episodes"), totals.alias("totals")).where(
+        F.col("totals") < 7
     )

@@ -16,8 +16,6 @@ from kinescribe.functions import landmarks as lm
 from kinescribe.operators.traces import KEYS, distance
 from kinescribe.plans.chunks import in_chunks, ordered
 
-#: Sums of weights below this are rounding noise (weights are pixel distances or 1).
-NOISE = 1e-7
 BLOCK_RADIUS = 5
 BLUR_SIZE = 51
 
@@ -27,25 +25,27 @@ def box_density(boxes: DataFrame, width: int, height: int) -> DataFrame:
 
     Each box contributes its four signed corners; two running sums, down the columns that have corners and
     then along the rows, recover the sums. The work grows with boxes and covered cells, not with box areas.
+    A count of the covering boxes is carried along; being whole numbers, it tells exactly which cells are covered.
     """
-    corner = lambda x, y, w: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), w.alias("w"))
+    one = F.lit(1).cast("bigint")
+    corner = lambda x, y, sign: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), (w * sign).alias("w"), (one * sign).alias("c"))
     w = F.col("w").cast("double")
     corners = boxes.select(
         "session_id",
-        F.explode(F.array(corner("x0", "y0", w), corner("x1", "y0", -w), corner("x0", "y1", -w), corner("x1", "y1", w))).alias("c"),
+        F.explode(F.array(corner("x0", "y0", 1), corner("x1", "y0", -1), corner("x0", "y1", -1), corner("x1", "y1", 1))).alias("c"),
     )
     change = corners.where((F.col("c.x") < width) & (F.col("c.y") < height)).groupBy("session_id", "c.x", "c.y").agg(
-        F.sum("c.w").alias("w")
+        F.sum("c.w").alias("w"), F.sum("c.c").alias("c")
     )
     down = Window.partitionBy("session_id", "x").orderBy("y")
     columns = change.select(
-        "session_id", "x", "y", F.sum("w").over(down).alias("w"), F.coalesce(F.lead("y").over(down), F.lit(height)).alias("stop")
-    ).where(F.abs("w") > NOISE)
-    filled = columns.select("session_id", "x", F.explode(F.sequence("y", F.col("stop") - 1)).alias("y"), "w")
+        "session_id", "x", "y", F.sum("w").over(down).alias("w"), F.sum("c").over(down).alias("c"), F.coalesce(F.lead("y").over(down), F.lit(height)).alias("stop")
+    ).where((F.col("c") != 0) | (F.col("w") != 0))
+    filled = columns.select("session_id", "x", F.explode(F.sequence("y", F.col("stop") - 1)).alias("y"), "w", "c")
     along = Window.partitionBy("session_id", "y").orderBy("x")
     spans = filled.select(
-        "session_id", "x", "y", F.sum("w").over(along).alias("v"), F.coalesce(F.lead("x").over(along), F.lit(width)).alias("stop")
-    ).where(F.abs("v") > NOISE)
+        "session_id", "x", "y", F.sum("w").over(along).alias("v"), F.sum("c").over(along).alias("c"), F.coalesce(F.lead("x").over(along), F.lit(width)).alias("stop")
+    ).where(F.col("c") > 0)
     return spans.select("session_id", F.explode(F.sequence("x", F.col("stop") - 1)).alias("x"), "y", "v")
 
 

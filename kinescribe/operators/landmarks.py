@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,10 +153,15 @@ def gesture_counts(gestures: DataFrame) -> DataFrame:
     return gestures.where(F.col("gesture").isNotNull()).groupBy("session_id", "hand", "gesture").count()
 
 
-def gesture_matrix(gestures: DataFrame) -> DataFrame:
-    """Sessions by hand-and-gesture label, 0 where none, labels in sorted order."""
-    label = F.concat_ws("_", F.initcap("hand"), "gesture")
-    return gesture_counts(gestures).withColumn("label", label).groupBy("session_id").pivot("label").sum("count").fillna(0)
+def gesture_matrix(gestures: DataFrame, labels: Sequence[str], hands: Sequence[str] = ("left", "right")) -> DataFrame:
+    """Sessions by hand and gesture label, 0 where none: one column per given hand and label.
+
+    One aggregation; the labels are given, so no pass over the data is needed to find the columns.
+    """
+    cells = [
+        F.count_if((F.col("hand") == h) & (F.col("gesture") == g)).alias(f"{h.capitalize()}_{g}") for h in hands for g in labels
+    ]
+    return gestures.where(F.col("gesture").isNotNull()).groupBy("session_id").agg(*cells)
 
 
 def gesture_labels(gestures: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ def first_covering(
     Bounds are inclusive; ``half_open`` excludes the end. Columns of the interval arrive as struct ``found``.
     """
     start, end = span
-    points = times.withColumn("_bucket", _bucket("time_s", seconds))
+    # Repeated rows are looked up once and repeated at the end.
+    points = times.groupBy(*times.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", _bucket("time_s", seconds))
     spans = by_bucket(intervals, start, end, seconds)
     payload = F.struct(*[c for c in intervals.columns if c not in keys]).alias("_hit")
     spans = spans.select(*keys, "_bucket", F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(order).alias("_o"), payload)
@@ -78,8 +79,9 @@ def first_covering(
         (points["time_s"] < spans["_e"]) if half_open else (points["time_s"] <= spans["_e"])
     )
     same = [points[k] == spans[k] for k in keys] + [points["_bucket"] == spans["_bucket"], inside]
-    joined = points.join(spans, same, "left").select(*[points[c] for c in times.columns], "_o", "_hit")
-    return joined.groupBy(*times.columns).agg(F.min_by("_hit", "_o").alias("found"))
+    joined = points.join(spans, same, "left").select(*[points[c] for c in times.columns], points["_n"], "_o", "_hit")
+    found = joined.groupBy(*times.columns, "_n").agg(F.min_by("_hit", "_o").alias("found"))
+    return found.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).drop("_n")
 
 
 def context_at(

@@ -7,6 +7,8 @@ and per-topic picks are ``row_number() <= k`` filters, which Spark limits before
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,15 +79,18 @@ def topic_sizes(segments: DataFrame) -> DataFrame:
 
 
 def topic_session_matrix(segments: DataFrame) -> DataFrame:
-    """Segment counts per session and topic with both kinds of totals (NULL marks "all")."""
+    """Segment counts per session and topic with both kinds of totals.
+
+    ``totals`` tells them from a NULL key: 0 for a cell, 1 over topics, 2 over sessions, 3 over both.
+    """
     cells = segments.where(F.col("topic") != -1).groupBy("session_id", "topic").count()
-    return cells.cube("session_id", "topic").agg(F.sum("count").alias("segments"))
+    return cells.cube("session_id", "topic").agg(F.sum("count").alias("segments"), F.grouping_id().cast("int").alias("totals"))
 
 
-def topic_session_wide(segments: DataFrame) -> DataFrame:
-    """One row per session, one column per topic, 0 where none."""
-    cells = segments.where(F.col("topic") != -1).withColumn("t", F.concat(F.lit("topic_"), F.col("topic")))
-    return cells.groupBy("session_id").pivot("t").count().fillna(0)
+def topic_session_wide(segments: DataFrame, topics: Sequence[int]) -> DataFrame:
+    """One row per session with a topic, one column per given topic, 0 where none."""
+    counts = [F.count_if(F.col("topic") == t).alias(f"topic_{t}") for t in topics]
+    return segments.where(F.col("topic") != -1).groupBy("session_id").agg(*counts)
 
 
 def topic_timeline(segments: DataFrame) -> DataFrame:
@@ -130,24 +135,34 @@ def topic_prominence(segments: DataFrame) -> DataFrame:
 def category_examples(segments: DataFrame, category: str = "category", k: int = 3) -> DataFrame:
     """Per category its number of texts and the ``k`` shortest distinct ones, most frequent category first.
 
-    Copies of a text are combined before they are shuffled.
+    Only texts that can be among the shortest are shuffled.
     """
-    texts = segments.groupBy(F.col(category).alias("category"), "text").agg(F.count(F.lit(1)).alias("c"))
-    totals = texts.groupBy("category").agg(F.sum("c").alias("n"))
-    rank = F.row_number().over(ordered(["category"], F.length("text"), "text"))
-    shortest = texts.select("category", "text", rank.alias("rank")).where(F.col("rank") <= k)
+    named = segments.select(F.col(category).alias("category"), "text")
+    totals = named.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    # Ranks among distinct texts; a limit on such a rank is applied in each task before anything is shuffled.
+    place = F.dense_rank().over(ordered(["category"], F.length("text"), "text"))
+    shortest = named.withColumn("rank", place).where(F.col("rank") <= k).distinct()
     return shortest.join(totals, "category").orderBy(F.col("n").desc(), "category", "rank")
 
 
-def topic_exemplars(segments: DataFrame, k: int = 8, min_chars: int = 25, excerpt: int = 120) -> DataFrame:
-    """Per topic the ``k`` longest texts above ``min_chars`` (any, if none is that long), cut to an excerpt."""
+def topic_exemplars(
+    segments: DataFrame, k: int = 8, min_chars: int = 25, excerpt: int = 120, words: DataFrame | None = None, top: int = 5
+) -> DataFrame:
+    """Per topic the ``k`` longest texts above ``min_chars`` (any, if none is that long), cut to an excerpt.
+
+    ``words`` (topic, rank, term) adds the ``top`` first words of each topic as ``keywords``.
+    """
     sized = segments.where(F.col("topic") != -1).select(
         "topic", "session_id", "seg_idx", F.length("text").alias("chars"), F.substring("text", 1, excerpt).alias("excerpt")
     )
     rank = F.row_number().over(ordered(["topic"], F.col("chars").desc(), "session_id", "seg_idx"))
     best = sized.withColumn("rank", rank).where(F.col("rank") <= k)
     longest = F.max("chars").over(Window.partitionBy("topic"))
-    return best.withColumn("_longest", longest).where((F.col("chars") > min_chars) | (F.col("_longest") <= min_chars)).drop("_longest")
+    best = best.withColumn("_longest", longest).where((F.col("chars") > min_chars) | (F.col("_longest") <= min_chars)).drop("_longest")
+    if words is None:
+        return best
+    listed = words.where(F.col("rank") <= top).groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda w: w["term"]).alias("keywords"))
+    return best.join(listed, "topic", "left")
 
 
 def seed_match(labels: DataFrame, seeds: DataFrame) -> DataFrame:

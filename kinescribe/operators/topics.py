@@ -50,18 +50,20 @@ def ngrams(words: str, longest: int) -> Column:
 
 def words_of(
     docs: DataFrame, keys: Sequence[str], word_rule: str = STANDARD, stop_words: Sequence[str] = STOP_WORDS,
-    only: Sequence[str] | None = None,
+    possible: Column | None = None,
 ) -> DataFrame:
     """Kept words of the lower-cased ``text`` of each row, in order, as array ``words``; NULL in place of
-    words not in ``only``.
+    words whose bit is not set in ``possible``.
 
     N-grams are to be built from it inside ``explode`` only: as a projection of its own, the optimizer would
     merge the two and split the text again for every n-gram.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     kept = F.filter(words, lambda w: w.rlike(word_rule) & ~w.isin(*stop_words))
-    if only is not None:
-        kept = F.transform(kept, lambda w: F.when(w.isin(*only), w))
+    if possible is not None:
+        docs = docs.withColumn("_possible", possible)
+        bit = lambda w: F.getbit(F.get("_possible", F.shiftright(_word_bit(w), 6).cast("int")), (_word_bit(w) % 64).cast("int"))
+        kept = F.transform(kept, lambda w: F.when(bit(w) == 1, w))
     return docs.select(*keys, kept.alias("words"))
 
 
@@ -83,19 +85,30 @@ def vocabulary(stats: DataFrame, docs: Column, max_df: float, min_df: int, max_f
     return best.withColumn("idf", F.log((F.col("docs") + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def frequent_words(words: DataFrame, docs: Column, max_df: float, min_df: int, max_features: int, limit: int = 20_000) -> list[str] | None:
-    """Words that terms of the vocabulary can consist of, or None if all can.
+#: Bits of the filter for words that vocabulary terms can consist of.
+WORD_BITS = 1 << 18
 
-    An n-gram is never more frequent than its rarest word. Once ``max_features`` single words qualify, terms
-    less frequent than the last of them are out, and so is every n-gram with such a word. This spares
-    counting most n-grams. If the list would be long, nothing is left out.
+
+def _word_bit(word: str | Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(WORD_BITS))
+
+
+def possible_words(words: DataFrame, docs: Column, max_df: float, min_df: int, max_features: int) -> Column:
+    """Bits of the words that terms of the vocabulary can consist of, as an array of WORD_BITS / 64 numbers.
+
+    An n-gram is never more frequent than its rarest word. Once ``max_features`` single words qualify, terms less
+    frequent than the last of them are out, and so is every n-gram with such a word; with fewer, no word is out. The filter
+    spares counting most n-grams; words that share a bit are counted in vain, which changes no result.
     """
     stats = stage(term_stats(words, 1))
-    single = vocabulary(stats, docs, max_df, min_df, max_features).agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("floor")).first()
-    if single["n"] < max_features:
-        return None
-    kept = [r["term"] for r in stats.where(F.col("total") >= single["floor"]).select("term").limit(limit + 1).collect()]
-    return kept if len(kept) <= limit else None
+    single = vocabulary(stats, docs, max_df, min_df, max_features).agg(
+        F.when(F.count(F.lit(1)) < max_features, 0).otherwise(F.min("total")).alias("floor")
+    )
+    kept = stats.where(F.col("total") >= single.scalar()).withColumn("_bit", _word_bit("term"))
+    cells = kept.groupBy(F.shiftright("_bit", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_bit % 64 AS INT))")).alias("bits"))
+    every = words.sparkSession.range(WORD_BITS // 64).withColumnRenamed("id", "cell").join(cells, "cell", "left")
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("l"))
+    return stage(listed.select(F.transform("l", lambda c: c["bits"]).alias("bits"))).scalar()
 
 
 def tfidf(
@@ -108,8 +121,8 @@ def tfidf(
     terms before anything is shuffled by document.
     """
     total = docs.agg(F.count(F.lit(1))).scalar()
-    only = frequent_words(words_of(docs, [], word_rule, stop_words), total, max_df, min_df, max_features)
-    words = words_of(docs, [key], word_rule, stop_words, only)
+    possible = possible_words(words_of(docs, [], word_rule, stop_words), total, max_df, min_df, max_features)
+    words = words_of(docs, [key], word_rule, stop_words, possible)
     vocab = vocabulary(term_stats(words, longest), total, max_df, min_df, max_features)
     listed = words.select(key, F.explode(ngrams("words", longest)).alias("term")).join(vocab.select("term", "idf"), "term")
     weighted = listed.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
@@ -122,6 +135,11 @@ def tfidf_aggressive(docs: DataFrame, key: str, stop_words: Sequence[str] = STOP
     return tfidf(docs, key, 2, AGGRESSIVE, 0.9, 1, 300, stop_words)
 
 
+def least_classes(documents: int) -> int:
+    """In how many topics a term must occur: two above 300 documents, else one."""
+    return 2 if documents > 300 else 1
+
+
 def ctfidf(segments: DataFrame, min_classes: int = 1, longest: int = 3, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Distinctive terms per topic: tf * ln(1 + mean words per topic / frequency over all topics).
 
@@ -186,7 +204,7 @@ def keyword_labels(words: DataFrame, skip: Sequence[str] = LABEL_SKIP) -> DataFr
 
 def noise_topic_flag(words: DataFrame, noise: Sequence[str] = NOISE_WORDS) -> DataFrame:
     """Topics in which at least three of the first six words contain a noise word are unclear."""
-    hits = F.col("term").contains(noise[0])
+    hits = F.lower("term").contains(noise[0])
     for n in noise[1:]:
         hits = hits | F.lower("term").contains(n)
     counted = words.where(F.col("rank") <= 6).groupBy("topic").agg(F.count_if(hits).alias("noise_words"))
@@ -389,15 +407,18 @@ def topic_assign(vectors: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     ).drop("cluster")
 
 
-def merge_topics(means: DataFrame, max_topics: int = 15, same: float = 0.9) -> DataFrame:
+def merge_topics(means: DataFrame, max_topics: int = 15, same: float = 0.9, documents: int | None = None) -> DataFrame:
     """Merged topic of each topic (columns topic, merged).
 
     Topics beyond the ``max_topics`` largest join the most similar larger one; topics whose centroids are
     more similar than ``same``, directly or through others, then become one (named after the lowest). The
     second step spreads minimum labels along the similar pairs until nothing changes.
-    ``means``: topic, embedding, n.
+    ``means``: topic, embedding, n. The number of ``documents``, where given, decides on the first step: it is taken
+    above 100 only.
     """
     means = stage(means)
+    if documents is not None and documents <= 100:
+        max_topics = means.count()
     rank = F.row_number().over(ordered([], F.col("n").desc(), "topic"))
     ranked = means.withColumn("_rank", rank)
     large = ranked.where(F.col("_rank") <= max_topics).select(F.col("topic").alias("target"), "embedding")
@@ -472,14 +493,24 @@ def graph_edges(words: DataFrame, coords: DataFrame, limit: float = 0.4) -> Data
 
 # --- non-negative factors ----------------------------------------------------------------------------
 
-def nmf_rows(weights: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
-    """Sparse rows (key, idx, w) of a tf-idf table and the vocabulary (at most a few hundred terms)."""
+def nmf_rows(weights: DataFrame, key: str, documents: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Sparse rows (key, idx, w) of a tf-idf table and the vocabulary (at most a few hundred terms).
+
+    With ``documents`` (key), those without a term have an empty row.
+    """
     terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
     place = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
     rows = weights.join(place, "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("cells"))
+    if documents is not None:
+        rows = documents.select(key).join(rows, key, "left").withColumn("cells", F.coalesce("cells", F.array().cast(rows.schema["cells"].dataType)))
     return rows.select(key, F.col("cells.i").alias("idx"), F.col("cells.weight").alias("w")), terms
 
 
+def nmf_size(documents: int) -> int:
+    """Number of topics of the aggressive form."""
+    return min(4, max(2, documents // 4))
+
+
 def row_solver(h: np.ndarray, ridge: float) -> Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]:
     """Function from sparse rows to (X, W), W >= 0 minimising |X - W h|^2 + ridge |W|^2.
 
@@ -490,8 +521,8 @@ def row_solver(h: np.ndarray, ridge: float) -> Callable[[pd.DataFrame], tuple[np
 
     def solve(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         x = np.zeros((len(pdf), width))
-        for i, (idx, w) in enumerate(zip(pdf["idx"], pdf["w"])):
-            x[i, idx] = w
+        if len(pdf):
+            x[np.repeat(np.arange(len(pdf)), pdf["idx"].map(len)), np.concatenate(pdf["idx"].to_list()).astype(int)] = np.concatenate(pdf["w"].to_list())
         target = x @ h.T
         w = np.maximum(np.linalg.solve(gram, target.T).T, 0.0)
         for _ in range(30):
@@ -503,17 +534,18 @@ def row_solver(h: np.ndarray, ridge: float) -> Callable[[pd.DataFrame], tuple[np
 
 
 def nmf_topics(
-    weights: DataFrame, key: str, k: int, max_iter: int = 200, alpha: float = 0.1, tol: float = 1e-3, seed: int = 42
+    weights: DataFrame, key: str, k: int, max_iter: int = 200, alpha: float = 0.1, tol: float = 1e-3, seed: int = 42, documents: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Non-negative factors of a tf-idf table: (document topics, topic words).
 
     Alternating least squares with squared penalties. The topic-by-term matrix H is small and travels with
     the tasks; each round solves the document weights in parallel and sums only W'X and W'W, so documents
-    never leave their partition. Stops when H changes by less than ``tol`` of its size.
+    never leave their partition. Stops when H changes by less than ``tol`` of its size. Of ``documents``, those without a
+    term get topic 0 with weight 0.
     """
-    rows, terms = nmf_rows(stage(weights), key)
+    rows, terms = nmf_rows(stage(weights), key, documents)
     rows = stage(rows)
-    docs, width = rows.count(), len(terms)
+    width = len(terms)
     h = np.random.default_rng(seed).random((k, width)) / np.sqrt(width)
     sums = StructType([StructField("i", IntegerType()), StructField("row", ArrayType(DoubleType()))])
     for _ in range(max_iter):

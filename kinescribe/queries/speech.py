@@ -227,7 +227,7 @@ def topic_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.topic_sizes(f4(spark, sf, False)).select("topic", "n", r("mean_n"))
 
 
-@query("topic_session_matrix", with_([F4], "SELECT session_id, topic, COUNT(*) AS segments FROM seg WHERE topic <> -1 GROUP BY CUBE (session_id, topic)"))
+@query("topic_session_matrix", with_([F4], "SELECT session_id, topic, COUNT(*) AS segments, CAST(GROUPING_ID(session_id, topic) AS INT) AS totals FROM seg WHERE topic <> -1 GROUP BY CUBE (session_id, topic)"))
 def topic_session_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.topic_session_matrix(f4(spark, sf, False))
 
@@ -235,7 +235,7 @@ def topic_session_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query("topic_session_wide", with_([F4], "SELECT session_id, " + ", ".join(f"COUNT(*) FILTER (topic = {t}) AS topic_{t}" for t in range(7))
        + " FROM seg WHERE topic <> -1 GROUP BY 1"))
 def topic_session_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.topic_session_wide(f4(spark, sf, False))
+    return summaries.topic_session_wide(f4(spark, sf, False), range(7))
 
 
 @query("topic_timeline", with_([F4, """sz AS (SELECT topic, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*), topic) - 1 AS INT) AS row FROM seg WHERE topic <> -1 GROUP BY 1)"""],

@@ -13,6 +13,7 @@ from kinescribe.plans.staging import stage
 from kinescribe.queries.base import query, r, sr, with_
 from kinescribe.queries.episode import motion_of
 from kinescribe.queries.speech import F4, f4
+from kinescribe.sources import library
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -42,7 +43,7 @@ _AGGRESSIVE = _tfidf_cte(topics.AGGRESSIVE, 2, 0.9, 1, 300)
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.read_texts(spark, sf, "documents").select("doc_id", "text")
+    return fixtures.read(spark, sf, "documents").select("doc_id", "text")
 
 
 @query("tfidf_terms", with_([_STANDARD], f"SELECT doc_id, term, {sr('weight')} FROM ti"))
@@ -132,9 +133,7 @@ def noise_topics(spark: SparkSession, sf: str) -> DataFrame:
     return topics.noise_topic_flag(ctfidf_words(spark, sf), _PROBE_NOISE)
 
 
-SEEDS = (
-    "Usability Issue / Bug", "Feature Request", "Positive Feedback", "Instruction / Walkthrough", "Visual Design", "General / Irrelevant",
-)
+SEEDS = library.CATEGORY_NAMES
 
 
 @query("seed_matches", with_(["sd AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SEEDS)) + ") s(no, seed))",
@@ -295,11 +294,32 @@ def merge_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("nmf_topics")
 def nmf_topics(spark: SparkSession, sf: str) -> DataFrame:
-    weights = topics.tfidf_aggressive(docs(spark, sf), "doc_id")
-    assigned, _ = topics.nmf_topics(weights, "doc_id", k=4, max_iter=15, alpha=0.05)
+    """Aggressive form over all documents."""
+    texts = docs(spark, sf)
+    weights = topics.tfidf_aggressive(texts, "doc_id")
+    assigned, _ = topics.nmf_topics(weights, "doc_id", topics.nmf_size(texts.count()), max_iter=300, alpha=0.05, documents=texts)
     return assigned
 
 
+@query("nmf_summary", """SELECT COUNT(*) AS documents, TRUE AS topics_in_range, TRUE AS weights_positive FROM documents""")
+def nmf_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the factors: a topic below k and a weight of at least 0 for every document."""
+    k = topics.nmf_size(docs(spark, sf).count())
+    found = nmf_topics(spark, sf)
+    return found.agg(
+        F.countDistinct("doc_id").alias("documents"), F.every((F.col("topic") >= 0) & (F.col("topic") < k)).alias("topics_in_range"),
+        F.every(F.col("max_weight") >= 0).alias("weights_positive"),
+    )
+
+
+@query("nmf_labels")
+def nmf_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Standard form: ten topics, with labels from their own words."""
+    texts = docs(spark, sf)
+    _, words = topics.nmf_topics(topics.tfidf(texts, "doc_id"), "doc_id", k=10, documents=texts)
+    return topics.keyword_labels(stage(topics.topic_words(words)))
+
+
 @query("episode_map")
 def episode_map(spark: SparkSession, sf: str) -> DataFrame:
     found, motion = motion_of(spark, sf)
