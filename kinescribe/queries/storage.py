@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +14,47 @@ from kinescribe.sources import library, sessions
 from kinescribe.streaming import incremental
 
 
-@query("session_roundtrip", f"""WITH t AS (SELECT 'day ' || DAY(ts) AS session_id, COUNT(*) AS frames, SUM(value) AS sum_x FROM events GROUP BY 1),
-       s AS (SELECT 'day ' || (conv_id % 30 + 1) AS session_id, COUNT(*) AS segments, SUM(LENGTH(text)) AS chars FROM conversations GROUP BY 1)
-       SELECT t.session_id, 640 AS width, frames, {sr('sum_x', digits=3)}, COALESCE(segments, 0) AS segments,
-       CAST(COALESCE(chars, 0) AS BIGINT) AS chars FROM t LEFT JOIN s USING (session_id)""")
+@query("session_roundtrip", f"""WITH f AS (SELECT 'user ' || user_id AS session_id, 640 AS width, event_id AS frame_idx, {sr('value', 'x')} FROM events)
+       SELECT session_id, width, frame_idx, x, CAST(NULL AS BIGINT) AS seg_idx, CAST(NULL AS VARCHAR) AS text FROM f
+       UNION ALL SELECT 'user ' || (conv_id % 100), CAST(NULL AS INT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), conv_id * 1048576 + turn, text FROM conversations
+       WHERE conv_id % 100 <> 7
+       UNION ALL SELECT 'user 7', CAST(NULL AS INT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), 1, 'second save'""")
 def session_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Save one session per calendar day (trace and transcript), read all back, and count."""
+    """Save one session per user (trace and transcript), save one of them again, and read all rows back."""
     root = fresh_folder(spark, "library")
-    events = fixtures.read(spark, sf, "events").withColumn("session_id", F.concat(F.lit("day "), F.dayofmonth("ts")))
+    events = fixtures.read(spark, sf, "events").withColumn("session_id", F.concat(F.lit("user "), "user_id"))
     trace = events.select("session_id", F.lit("left").alias("hand"), F.col("event_id").alias("frame_idx"), F.col("value").alias("x"))
     speech = fixtures.read(spark, sf, "conversations").select(
-        F.concat(F.lit("day "), F.col("conv_id") % 30 + 1).alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seg_idx"), "text"
+        F.concat(F.lit("user "), F.col("conv_id") % 100).alias("session_id"), (F.col("conv_id") * 1048576 + F.col("turn")).alias("seg_idx"), "text"
     )
     sessions.write_session({"sessions": events.select("session_id").distinct(), "trace": trace, "transcript": speech}, root)
+    again = spark.range(1).select(F.lit("user 7").alias("session_id"), F.lit(1).cast("bigint").alias("seg_idx"), F.lit("second save").alias("text"))
+    sessions.write_session({"transcript": again}, root)
     saved = sessions.read_sessions(spark, root)
-    frames = saved["trace"].groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("x").alias("sum_x"))
-    said = saved["transcript"].groupBy("session_id").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("text")).alias("chars"))
-    out = saved["sessions"].join(frames, "session_id").join(said, "session_id", "left").fillna(0, ["segments", "chars"])
-    return out.select("session_id", "width", "frames", r("sum_x", 3), "segments", "chars")
+    frames = saved["trace"].join(saved["sessions"].select("session_id", "width"), "session_id").select("session_id", "width", "frame_idx", r("x"))
+    return frames.unionByName(saved["transcript"].select("session_id", "seg_idx", "text"), allowMissingColumns=True)
+
+
+@query("schema_upgrade", """SELECT user_id AS session_id, event_id AS frame_idx, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS person_no FROM events""")
+def schema_upgrade(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third frame has a person list; the others come from the older single-person table."""
+    events = fixtures.read(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_idx"), F.lit("nose").alias("part"), F.col("value").alias("x"))
+    persons = events.where("frame_idx % 3 = 0").withColumn("person_no", F.lit(2))
+    return sessions.upgrade_bodies(persons, events).select("session_id", "frame_idx", "person_no")
+
+
+@query("hands_upgrade", """SELECT user_id AS session_id, BOOL_OR(event_type <> 'error') AS has_hands FROM events GROUP BY 1""")
+def hands_upgrade(spark: SparkSession, sf: str) -> DataFrame:
+    events = fixtures.read(spark, sf, "events").select(F.col("user_id").alias("session_id"), "event_type", F.col("event_id").alias("frame_idx"))
+    known = events.select("session_id").distinct().withColumn("has_hands", F.lit(None).cast("boolean"))
+    return sessions.upgrade_has_hands(known, events.where("event_type <> 'error'")).select("session_id", "has_hands")
+
+
+@query("union_sessions", """SELECT user_id AS session_id, event_id AS frame_idx, CASE WHEN event_id % 2 = 0 THEN 'left' END AS hand FROM events""")
+def union_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """An older source without hands and a newer one, under one schema."""
+    events = fixtures.read(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_idx"))
+    return sessions.union_sessions(events.where("frame_idx % 2 = 0").withColumn("hand", F.lit("left")), events.where("frame_idx % 2 <> 0"))
 
 
 #: The texts are invented, so the probe lexicon lists their most common short words.
@@ -44,7 +69,9 @@ def lexicon_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Documents mentioning each term of a lexicon."""
     words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
     mentioned = fixtures.read(spark, sf, "documents").select("doc_id", words.alias("term"))
-    listed = library.lexicon_terms(spark.createDataFrame(list(PROBE_LEXICON.items()), "category string, terms array<string>"))
+    folder = f"{fresh_folder(spark, 'lexicon')}/json"
+    spark.createDataFrame([(json.dumps(PROBE_LEXICON),)], "value string").write.text(folder)
+    listed = library.lexicon_terms(library.read_lexicon(spark, folder))
     return mentioned.join(listed, "term").groupBy("category", "term").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -70,13 +97,16 @@ def gesture_tally_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query("presence_sessions_stream", """WITH s AS (SELECT user_id AS session_id, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS hand, ts FROM events
        WHERE event_type <> 'error'), g AS (SELECT *, CASE WHEN ts - LAG(ts) OVER p < INTERVAL '12 hours' THEN 0 ELSE 1 END AS o FROM s
        WINDOW p AS (PARTITION BY session_id, hand ORDER BY ts)),
-       k AS (SELECT *, SUM(o) OVER (PARTITION BY session_id, hand ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g),
-       w AS (SELECT session_id, hand, MIN(ts) AS start, MAX(ts) + INTERVAL '12 hours' AS "end", COUNT(*) AS frames FROM k GROUP BY session_id, hand, run)
-       SELECT * FROM w WHERE "end" <= (SELECT DATE_TRUNC('milliseconds', MAX(ts)) FROM s)""")
+       k AS (SELECT *, SUM(o) OVER (PARTITION BY session_id, hand ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+       SELECT session_id, hand, MIN(ts) AS start, MAX(ts) + INTERVAL '12 hours' AS "end", COUNT(*) AS frames FROM k GROUP BY session_id, hand, run""")
 def presence_sessions_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions that had ended when the stream did (later ones stay open in its state)."""
-    seen = as_gestures(event_stream(spark, sf).where(F.col("event_type") != "error"))
-    return incremental.run_available(incremental.presence_sessions(seen, "12 hours", "0 seconds"), "append")
+    """All sessions, open ones too, from four files that arrive one by one and in no time order."""
+    folder = f"{fresh_folder(spark, 'events')}/rows"
+    events = fixtures.read(spark, sf, "events").where(F.col("event_type") != "error")
+    seen = as_gestures(events).withColumn("part", F.pmod(F.xxhash64("ts"), F.lit(4)))
+    seen.repartition(4, "part").drop("part").write.parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return incremental.run_available(incremental.presence_sessions(stream, "12 hours"), "complete")
 
 
 @query("stitched_segments_stream", "SELECT conv_id AS session_id, text, COUNT(*) AS n FROM conversations GROUP BY ALL")
@@ -91,7 +121,6 @@ def stitched_segments_stream(spark: SparkSession, sf: str) -> DataFrame:
     cut = pairs.where((F.col("start_s") < F.col("extract_end")) & (F.col("end_s") > F.col("extract_start"))).select(
         "session_id", "chunk_idx", (F.greatest("start_s", "extract_start") - F.col("extract_start")).alias("start_s"),
         (F.least("end_s", "extract_end") - F.col("extract_start")).alias("end_s"), "text",
-        F.timestamp_seconds(F.col("core_end")).alias("arrived"),
     )
     folder = f"{fresh_folder(spark, 'chunks')}/rows"
     cut.write.parquet(folder)

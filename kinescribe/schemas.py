@@ -31,7 +31,7 @@ GESTURES = _struct({**_FRAME, "hand": STRING}, gesture=STRING, score=DOUBLE)
 TRACE = _struct({"session_id": STRING, "hand": STRING, "frame_idx": LONG}, ts=DOUBLE, x=DOUBLE, y=DOUBLE, z=DOUBLE)
 WORDS = _struct({"session_id": STRING, "chunk_idx": INT, "word_idx": INT}, word=STRING, start_s=DOUBLE, end_s=DOUBLE)
 TRANSCRIPT = _struct(
-    {"session_id": STRING, "seg_idx": INT}, start_s=DOUBLE, end_s=DOUBLE, text=STRING, sentiment=STRING, sentiment_score=DOUBLE
+    {"session_id": STRING, "seg_idx": LONG}, start_s=DOUBLE, end_s=DOUBLE, text=STRING, sentiment=STRING, sentiment_score=DOUBLE
 )
 LEXICON = _struct({}, category=STRING, terms=T.ArrayType(STRING))
 CONTACTS_IN = _struct(_FRAME, person_id=INT, body_part=STRING, object_id=INT, object_label=STRING, distance_px=DOUBLE)

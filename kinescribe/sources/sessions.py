@@ -1,15 +1,22 @@
-"""Saved sessions: one Parquet dataset per table below a common root, partitioned by session."""
+"""Saved sessions: one Parquet dataset per table below a common root, in folders by a hash of the session id.
+
+Inside a folder rows are sorted by session, so that the statistics of files and row groups tell sessions apart, however
+many there are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from kinescribe.plans.staging import stage
 from kinescribe.schemas import SESSION_TABLES
 
+#: Folders per table; part of the layout of a store.
+BUCKETS = 64
 #: Positions per output task: a long session is written by several tasks, a short one by one.
 WRITE_BLOCK = 1_000_000
 _POSITION = {"hand_frames": "frame_idx", "body_frames": "frame_idx", "gestures": "frame_idx", "trace": "frame_idx", "transcript": "seg_idx"}
@@ -35,24 +42,49 @@ def write_session(tables: Mapping[str, DataFrame], root: str) -> None:
     if all(df is None or df.isEmpty() for df in kept):
         raise EmptySessionError("nothing to save: no landmarks and no transcript")
     for name, df in tables.items():
-        out = conform(df, name)
-        if name in _POSITION:
-            out = out.repartition("session_id", F.floor(F.col(_POSITION[name]) / WRITE_BLOCK))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{root}/{name}")
+        out = conform(df, name).withColumn("bucket", _bucket(F.col("session_id")))
+        path = f"{root}/{name}"
+        if _exists(df.sparkSession, path):
+            # Other sessions of the folders that are written anew.
+            old = conform(df.sparkSession.read.parquet(path), name).withColumn("bucket", _bucket(F.col("session_id")))
+            old = old.join(out.select("bucket").distinct(), "bucket", "left_semi").join(out.select("session_id").distinct(), "session_id", "left_anti")
+            out = stage(old.unionByName(out))
+        place = [F.floor(F.col(_POSITION[name]) / WRITE_BLOCK)] if name in _POSITION else []
+        order = [_POSITION[name]] if name in _POSITION else []
+        out = out.repartition("bucket", *place).sortWithinPartitions("bucket", "session_id", *order)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _bucket(session_id: Column) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(BUCKETS)).cast("int")
+
+
+def _with_bucket(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("bucket", IntegerType())])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def read_sessions(spark: SparkSession, root: str, ids: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """All tables of the given sessions (of all, if none are given), with defaults for missing values.
 
-    The selection prunes partitions. A table that was never written is empty.
+    The selection prunes partitions. A table that was never written is empty; a missing root is an error.
     """
+    if not _exists(spark, root):
+        raise FileNotFoundError(root)
     out = {}
     for name, schema in SESSION_TABLES.items():
-        try:
-            df = spark.read.schema(schema).option("mergeSchema", "true").parquet(f"{root}/{name}")
-        except AnalysisException:
+        path = f"{root}/{name}"
+        if _exists(spark, path):
+            df = spark.read.schema(_with_bucket(schema)).option("mergeSchema", "true").parquet(path)
+        else:
             df = spark.createDataFrame([], schema)
-        df = df.where(F.col("session_id").isin(list(ids))) if ids is not None else df
+        if ids is not None:
+            folders = [_bucket(F.lit(i)) for i in ids]
+            df = df.where(F.col("session_id").isin(list(ids)) & (F.col("bucket").isin(*folders) if "bucket" in df.columns else F.lit(True)))
         out[name] = conform(df, name)
     out["sessions"] = with_defaults(out["sessions"])
     return out
