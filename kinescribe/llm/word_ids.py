@@ -10,17 +10,33 @@ from functools import lru_cache
 import numpy as np
 
 #: Runs whose ids are remembered; the cache starts anew when it is full.
-REMEMBERED = 3 << 19
+REMEMBERED = 3 << 18
 #: Bytes of a text split at a time.
 PART = 1 << 20
 
-#: Runs given to the tokenizer in one text.
+#: Other runs than plain words given to the tokenizer in one text.
 TOGETHER = 1 << 9
 
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: A full stop or comma at the end of such a run is a pre-token of its own.
 _MARKED = re.compile(rb"[^\x80-\xff]*[a-z0-9][.,]")
 
+#: How byte-level tokenizers write bytes without a printable character of their own: as characters from 256 on.
+_BYTES = {b: chr(256 + i) for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
+
+def _one_word(run: bytes) -> str | None:
+    """What the model sees of a run that is one pre-token by any Unicode tables: Latin letters only. None for other runs."""
+    word = run.decode()
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        return word.lower()
+    # Below U+0180 letters have one lower-case letter each (but for U+0130) and are composed already.
+    if max(word) >= chr(0x180) or chr(0x130) in word:
+        return None
+    return word.lower().encode().decode("latin-1").translate(_BYTES)
+
 
 class WordIds:
     """Ids by a tokenizer whose pre-tokens never hold white space, and which folds case and white space.
@@ -35,6 +51,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _learn(self, runs: list[bytes]) -> None:
         """Put runs, each given once, into the cache."""
@@ -45,8 +62,15 @@ class WordIds:
         if marked:
             bare = {r[:-1] for r in marked}.union(r[-1:] for r in marked).union(set(runs).difference(marked))
             runs = [r for r in bare if r not in cache]
-        for at in range(0, len(runs), TOGETHER):
-            part = runs[at : at + TOGETHER]
+        tokenize, packed, other = self.tokenizer.model.tokenize, self.packed, []
+        for run in runs:
+            word = _one_word(run)
+            if word is None:
+                other.append(run)
+            else:
+                cache[run] = b"".join([packed[t.id] for t in tokenize(word)])
+        for at in range(0, len(other), TOGETHER):
+            part = other[at : at + TOGETHER]
             words = [r.decode() for r in part]
             found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
             starts = np.cumsum([0, *(len(w) + 1 for w in words)])
