@@ -92,8 +92,25 @@ def with_totals(
         over.rowsBetween(Window.unboundedPreceding, Window.currentRow),
         over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing),
     )
-    totals = by_chunk.select(*keys, chunk, *[c.alias(n) for n, c in across(*windows).items()])
-    return df.join(totals, [*keys, chunk])
+    on = [*keys, chunk]
+    names = {c: f"_of_{c}" for c in on}
+    totals = by_chunk.select(*[F.col(c).alias(n) for c, n in names.items()], *[c.alias(n) for n, c in across(*windows).items()])
+    if all(c in _NEVER_NULL for c in on):
+        same = [F.col(c) == F.col(n) for c, n in names.items()]
+    else:
+        same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return df.join(totals, same).drop(*names.values())
+
+
+#: Columns of a prefix computation that are never NULL: the keys as one struct, and the bucket with NULL as the first one.
+_KEY, _BUCKET = "_key", "_bucket"
+_NEVER_NULL = (_KEY, _BUCKET)
+
+
+def _placed(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """Adds key struct and bucket. Windows, sums and the join all work on these two, with one shuffle; NULL keys are keys."""
+    first = F.lit(-(1 << 62)).cast("bigint")
+    return df.withColumns({_KEY: F.struct(*keys), _BUCKET: F.coalesce(bucket.cast("bigint"), first)})
 
 
 def dense_index(
@@ -110,7 +127,7 @@ def dense_index(
     minute of events, a block of ids, a chunk of frames). Ranks inside a bucket are shifted by the number
     of rows in earlier buckets. ``count_out`` names an optional column with the key's row count.
     """
-    work = df.withColumn("_bucket", bucket)
+    work = _placed(df, keys, bucket)
 
     def across(earlier, _upto, whole):
         cols = {"_shift": F.coalesce(F.sum("_rows").over(earlier), F.lit(0))}
@@ -118,23 +135,23 @@ def dense_index(
             cols[count_out] = F.sum("_rows").over(whole)
         return cols
 
-    rank = F.row_number().over(ordered([*keys, "_bucket"], *order)) - 1
-    out_df = with_totals(work, keys, "_bucket", {"_rows": F.count(F.lit(1))}, across)
-    return out_df.withColumn(out, (rank + F.col("_shift")).cast("bigint")).drop("_bucket", "_shift")
+    rank = F.row_number().over(ordered([_KEY, _BUCKET], *order)) - 1
+    out_df = with_totals(work, [_KEY], _BUCKET, {"_rows": F.count(F.lit(1))}, across)
+    return out_df.withColumn(out, (rank + F.col("_shift")).cast("bigint")).drop(_KEY, _BUCKET, "_shift")
 
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column, out: str
 ) -> DataFrame:
     """Sum of ``value`` over all *earlier* rows of the key (exclusive prefix sum)."""
-    work = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    inside = ordered([*keys, "_bucket"], *order).rowsBetween(Window.unboundedPreceding, -1)
+    work = _placed(df, keys, bucket).withColumn("_value", value)
+    inside = ordered([_KEY, _BUCKET], *order).rowsBetween(Window.unboundedPreceding, -1)
     out_df = with_totals(
-        work, keys, "_bucket", {"_part": F.sum("_value")},
+        work, [_KEY], _BUCKET, {"_part": F.sum("_value")},
         lambda earlier, _u, _w: {"_shift": F.coalesce(F.sum("_part").over(earlier), F.lit(0))},
     )
     total = F.coalesce(F.sum("_value").over(inside), F.lit(0)) + F.col("_shift")
-    return out_df.withColumn(out, total).drop("_bucket", "_value", "_shift", "_part")
+    return out_df.withColumn(out, total).drop(_KEY, _BUCKET, "_value", "_shift", "_part")
 
 
 @dataclass(frozen=True)

@@ -137,3 +137,13 @@ def test_sentences_across_chunks(spark, stops):
     df = spark.createDataFrame([("s", i, *w) for i, w in enumerate(words)], "session_id string, i bigint, word string, start_s double, end_s double")
     got = tr.words_to_sentences(df, ["i"], F.floor(F.col("i") / 100), rows=400)
     assert sorted(r.text for r in got.collect()) == plain_sentences(words)
+
+
+def test_null_keys_and_null_order_are_kept(spark):
+    rows = [("a", 1, 1.0), ("a", None, 2.0), (None, 5, 3.0), (None, 5, 4.0), (None, None, 5.0), ("a", 1, 6.0)]
+    df = spark.createDataFrame(rows, "k string, t bigint, v double")
+    ranked = dense_index(df, ["k"], F.floor(F.col("t") / 2), ["t", "v"], "n", "size").collect()
+    assert sorted((r.k or "", r.n, r.size) for r in ranked) == [("", 0, 3), ("", 1, 3), ("", 2, 3), ("a", 0, 3), ("a", 1, 3), ("a", 2, 3)]
+    assert {(r.k, r.v): r.n for r in ranked}[(None, 5.0)] == 0
+    summed = running_sum(df, ["k"], F.floor(F.col("t") / 2), ["t", "v"], F.col("v"), "before").collect()
+    assert {r.v: r.before for r in summed} == {2.0: 0.0, 1.0: 2.0, 6.0: 3.0, 5.0: 0.0, 3.0: 5.0, 4.0: 8.0}
