@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinescribe import fixtures
 from kinescribe.operators import episodes as ep
 from kinescribe.operators import lookups
+from kinescribe.plans.chunks import CHUNK_ROWS
 from kinescribe.plans.staging import stage
 from kinescribe.queries.base import query, r, sr, trace_cte, with_
 
@@ -22,18 +23,18 @@ def raw_episodes(spark: SparkSession, sf: str) -> DataFrame:
     return ep.segment_episodes(fixtures.slow_trace(spark, sf), **PARAMS)
 
 
-def merged(trace: DataFrame) -> DataFrame:
-    return ep.find_episodes(trace, merge_gap=GAP, **PARAMS)
+def merged(trace: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
+    return ep.find_episodes(trace, merge_gap=GAP, **PARAMS, rows=rows)
 
 
-def motion_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def motion_of(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
     trace = stage(fixtures.slow_trace(spark, sf))
-    found = stage(merged(trace))
-    return found, ep.episode_motion(stage(ep.episode_points(trace, found)))
+    found = stage(merged(trace, rows))
+    return found, ep.episode_motion(stage(ep.episode_points(trace, found, rows)), rows)
 
 
-def features_of(spark: SparkSession, sf: str) -> DataFrame:
-    found, motion = motion_of(spark, sf)
+def features_of(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    found, motion = motion_of(spark, sf, rows)
     return ep.episode_features(found, motion)
 
 
@@ -143,8 +144,8 @@ def episodes_unmerged(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("episodes", with_([SLOW, VELOCITY_CTE, EPISODES_CTE],
        f"SELECT {BOUNDS_SQL}, {sr('start_time')}, {sr('end_time')} FROM ep"))
-def episodes(spark: SparkSession, sf: str) -> DataFrame:
-    return bounds(merged(fixtures.slow_trace(spark, sf)))
+def episodes(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    return bounds(merged(fixtures.slow_trace(spark, sf), rows))
 
 
 @query("episodes_smoothed", with_([trace_cte(), VELOCITY_CTE, SMOOTH_CTE,
@@ -165,8 +166,8 @@ ID = ["session_id", "hand", "start_frame"]
 
 @query("episode_kinematics", with_([SLOW, VELOCITY_CTE, EPISODES_CTE, FEATURES_CTE],
        "SELECT session_id, hand, start_frame, " + ", ".join(sr(c, digits=5) for c in ep.KINEMATIC) + " FROM ft"))
-def episode_kinematics(spark: SparkSession, sf: str) -> DataFrame:
-    return features_of(spark, sf).select(*ID, *[r(c, 5) for c in ep.KINEMATIC])
+def episode_kinematics(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    return features_of(spark, sf, rows).select(*ID, *[r(c, 5) for c in ep.KINEMATIC])
 
 
 @query("episode_intent", with_([SLOW, VELOCITY_CTE, EPISODES_CTE, FEATURES_CTE],

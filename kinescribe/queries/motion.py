@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinescribe import fixtures
 from kinescribe.operators import traces
+from kinescribe.plans.chunks import CHUNK_ROWS
 from kinescribe.plans.staging import stage
 from kinescribe.queries.base import FILTERED_CTE, query, r, sr, trace_cte, with_
 
@@ -18,16 +19,16 @@ LOOSE = {"min_len": 3, "max_jump_pct": 0.25}
 TRACE = trace_cte()
 
 
-def filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return traces.filter_trace(fixtures.trace(spark, sf), **DIM, **LOOSE)
+def filtered(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    return traces.filter_trace(fixtures.trace(spark, sf), **DIM, **LOOSE, rows=rows)
 
 
-def derived(spark: SparkSession, sf: str) -> DataFrame:
-    return traces.derivatives(stage(filtered(spark, sf)), FPS)
+def derived(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    return traces.derivatives(stage(filtered(spark, sf, rows)), FPS, rows)
 
 
-def phased(spark: SparkSession, sf: str) -> DataFrame:
-    return traces.phases(stage(derived(spark, sf)))
+def phased(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    return traces.phases(stage(derived(spark, sf, rows)))
 
 
 def xyz_out(df: DataFrame, *extra) -> DataFrame:
@@ -89,8 +90,8 @@ def motion_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("trace_filtered", with_([TRACE, FILTERED_CTE], f"SELECT {XYZ} FROM filtered"))
-def trace_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return xyz_out(filtered(spark, sf))
+def trace_filtered(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    return xyz_out(filtered(spark, sf, rows))
 
 
 @query("trace_filtered_defaults", with_([TRACE, FILTERED_CTE.replace("0.25 *", "0.1 *").replace("n >= 3", "n >= 5")],
@@ -101,8 +102,8 @@ def trace_filtered_defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("step_speeds", with_([TRACE, FILTERED_CTE, STEPS_CTE],
        f"SELECT session_id, hand, frame_idx, {sr('step')}, {sr('speed')} FROM sm"))
-def step_speeds(spark: SparkSession, sf: str) -> DataFrame:
-    out = traces.speeds(fixtures.trace(spark, sf), **DIM, **LOOSE)
+def step_speeds(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    out = traces.speeds(fixtures.trace(spark, sf), **DIM, **LOOSE, rows=rows)
     return out.select("session_id", "hand", "frame_idx", r("step"), r("speed"))
 
 
@@ -117,8 +118,8 @@ def frame_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("derivatives", with_([TRACE, FILTERED_CTE, PHASE_CTE],
        f"SELECT session_id, hand, frame_idx, n, {sr('speed')}, {sr('accel', digits=3)}, {sr('jerk', digits=2)} FROM ph"))
-def derivatives(spark: SparkSession, sf: str) -> DataFrame:
-    out = derived(spark, sf)
+def derivatives(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    out = derived(spark, sf, rows)
     return out.select("session_id", "hand", "frame_idx", "n", r("speed"), r("accel", 3), r("jerk", 2))
 
 
@@ -136,8 +137,8 @@ def hmi_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("reach_runs", with_([TRACE, FILTERED_CTE, PHASE_CTE, REACH_CTE],
        f"SELECT session_id, hand, first_n, {sr('path')}, {sr('displacement')} FROM reach"))
-def reach_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return traces.reach_runs(phased(spark, sf)).select("session_id", "hand", "first_n", r("path"), r("displacement"))
+def reach_runs(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    return traces.reach_runs(phased(spark, sf, rows), rows).select("session_id", "hand", "first_n", r("path"), r("displacement"))
 
 
 @query("hover_hotspots", with_([TRACE, FILTERED_CTE, PHASE_CTE], f"SELECT {XYZ} FROM ph WHERE phase = 2"))
@@ -154,9 +155,9 @@ r1 AS (SELECT *, SUM(o) OVER (PARTITION BY session_id, hand ORDER BY frame_idx)
        _RUNS.format(same="LAG(phase) OVER p = phase", table="full_phase")],
        f"""SELECT session_id, hand, MIN(phase) AS phase, {sr('MIN(frame_idx)/30.0', 'start_s')},
        {sr('COUNT(*)/30.0', 'duration_s')} FROM r1 GROUP BY session_id, hand, run"""))
-def phase_runs(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = traces.phase_label(fixtures.trace(spark, sf), phased(spark, sf))
-    out = traces.phase_runs(labelled, FPS)
+def phase_runs(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    labelled = traces.phase_label(fixtures.trace(spark, sf), phased(spark, sf, rows))
+    out = traces.phase_runs(labelled, FPS, rows)
     return out.select("session_id", "hand", "phase", r("start_s"), r("duration_s"))
 
 

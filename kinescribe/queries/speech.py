@@ -83,10 +83,10 @@ wn AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY seg_idx, wo
          FROM fold f JOIN wn w ON w.session_id = f.session_id AND w.n = f.n + 1)"""]) +
        f"""\nSELECT session_id, {sr('MIN(start_s)', 'start_s')}, {sr('MAX(end_s)', 'end_s')}, STRING_AGG(word, ' ' ORDER BY n) AS text,
        'Neutral' AS sentiment FROM fold JOIN wn USING (session_id, n) GROUP BY session_id, sent""")
-def sentences(spark: SparkSession, sf: str) -> DataFrame:
+def sentences(spark: SparkSession, sf: str, rows: int = 262_144) -> DataFrame:
     words = fixtures.words(spark, sf)
     bucket = F.floor(F.col("seg_idx") / 1024)
-    out = tr.words_to_sentences(words, ["seg_idx", "word_no"], bucket)
+    out = tr.words_to_sentences(words, ["seg_idx", "word_no"], bucket, rows)
     return out.select("session_id", r("start_s"), r("end_s"), "text", "sentiment")
 
 

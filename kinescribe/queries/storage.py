@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinescribe import fixtures
+from kinescribe.plans.chunks import CHUNK_ROWS
 from kinescribe.plans.staging import fresh_folder
 from kinescribe.queries.base import query, r, sr, with_
 from kinescribe.sources import library, sessions
@@ -138,7 +139,7 @@ def stitched_segments_stream(spark: SparkSession, sf: str) -> DataFrame:
        u AS (SELECT *, SUM(CASE WHEN state = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, body_part ORDER BY f) AS g FROM t)
        SELECT session_id, body_part, {sr('MIN(f) / 10.0', 't_start')}, {sr('MAX(f) / 10.0', 't_end')}, {sr('AVG(d)', 'mean_distance_px')}, COUNT(*) AS frames
        FROM u WHERE state = 1 GROUP BY session_id, body_part, g""")
-def contact_events(spark: SparkSession, sf: str) -> DataFrame:
+def contact_events(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
     """Event values as distances: touching below 15, released above 25, two frames each."""
     from kinescribe.operators import contacts
     from kinescribe.plans.chunks import dense_index
@@ -149,5 +150,5 @@ def contact_events(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("cup").alias("object_label"), F.col("value").alias("distance_px"), "ts", "event_id",
     )
     placed = dense_index(events, contacts.KEYS, fixtures.minute_of("ts"), ["ts", "event_id"], "frame_idx")
-    out = contacts.contact_events(placed, 15.0, 25.0, 2, 10.0)
+    out = contacts.contact_events(placed, 15.0, 25.0, 2, 10.0, rows)
     return out.select("session_id", "body_part", r("t_start"), r("t_end"), r("mean_distance_px"), "frames")
