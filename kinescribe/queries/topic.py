@@ -285,6 +285,41 @@ def topic_assign(spark: SparkSession, sf: str) -> DataFrame:
     return topics.topic_assign(fixtures.vectors(spark, sf).drop("topic")).select("item_id", "topic", "score")
 
 
+@query("kmeans_nearest", f"""SELECT CAST(k AS INT) AS k, COUNT(vec_id) AS items, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS empty
+       FROM (VALUES {", ".join(f"({k})" for k in topics.K_VALUES)}) v(k), embeddings WHERE k < (SELECT COUNT(*) FROM embeddings) GROUP BY 1""")
+def kmeans_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """At every scale: items that are not in the cluster of their nearest returned centre, and clusters without items."""
+    placed = stage(topics.kmeans_multiscale(fixtures.vectors(spark, sf)))
+    # At most 20 centres per scale.
+    centers = placed.groupBy("k").agg(F.collect_set(F.struct("cluster", "center")).alias("centers"))
+    gap = lambda c: topics.euclidean(F.col("embedding"), c)
+    rated = placed.join(centers, "k").withColumn("least", F.array_min(F.transform("centers", lambda c: gap(c["center"]))))
+    return rated.groupBy("k").agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(gap(F.col("center")) > F.col("least") + 1e-9).alias("misplaced"),
+        (F.max("k") - F.countDistinct("cluster")).cast("bigint").alias("empty"),
+    )
+
+
+@query("pca_moments", "SELECT COUNT(*) AS items, 0.0::DOUBLE AS mean_x, 0.0::DOUBLE AS mean_y, 10.0::DOUBLE AS spread_x, 10.0::DOUBLE AS spread_y, 0.0::DOUBLE AS correlation FROM embeddings")
+def pca_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """The two components are centred, scaled to 10 and uncorrelated."""
+    flat = stage(topics.pca_2d(fixtures.vectors(spark, sf)).select("x", "y"))
+    return flat.agg(
+        F.count(F.lit(1)).alias("items"), r(F.avg("x"), 4, "mean_x"), r(F.avg("y"), 4, "mean_y"), r(F.stddev_pop("x"), 4, "spread_x"),
+        r(F.stddev_pop("y"), 4, "spread_y"), r(F.corr("x", "y"), 4, "correlation"),
+    )
+
+
+@query("topic_sizes_assigned", """SELECT COUNT(*) AS items, CAST(0 AS BIGINT) AS small_topics, TRUE AS scores_in_range FROM embeddings""")
+def topic_sizes_assigned(spark: SparkSession, sf: str) -> DataFrame:
+    """No topic but the outliers is below the least size (8 from 200 items on), and scores are cosines."""
+    placed = stage(topics.topic_assign(fixtures.vectors(spark, sf).drop("topic")).select("topic", "score"))
+    sizes = placed.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("score").between(-1.000001, 1.000001)).alias("ok"))
+    return sizes.agg(
+        F.sum("n").alias("items"), F.count_if((F.col("topic") != -1) & (F.col("n") < 8)).alias("small_topics"), F.every("ok").alias("scores_in_range"),
+    )
+
+
 @query("merge_topics")
 def merge_topics(spark: SparkSession, sf: str) -> DataFrame:
     """Forty fine topics (label and id) merged down."""
