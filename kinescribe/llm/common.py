@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinescribe.plans.staging import fresh_folder
 
-__all__ = ["PLACE", "folded", "id_text", "located", "maybe_in", "read", "stage", "with_place", "with_row", "without"]
+__all__ = ["PLACE", "folded", "id_text", "lazily", "located", "maybe_in", "read", "stage", "with_place", "with_row", "without"]
 
 #: Columns that tell rows apart by where they are stored.
 PLACE = ["_kinescribe_file", "_kinescribe_row"]
@@ -22,6 +25,16 @@ def stage(df: DataFrame, *parts: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts of a batch that are Python strings at the same time.
+AT_ONCE = 256
+
+
+def lazily(column: pa.Array) -> Iterator:
+    """The values of an Arrow array, a few at a time."""
+    for at in range(0, len(column), AT_ONCE):
+        yield from column.slice(at, AT_ONCE).to_pylist()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

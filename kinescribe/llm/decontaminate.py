@@ -21,14 +21,14 @@ count once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import PLACE, located, stage, with_place, with_row, without
+from kinescribe.llm.common import PLACE, lazily, located, stage, with_place, with_row, without
 from kinescribe.llm.word_hashes import Slice, slices
 
 #: Words of a window: what counts as shared.
@@ -65,19 +65,19 @@ def _hit(piece: Slice, a: int, b: int, label: int, at: int, h: np.uint64) -> dic
     }
 
 
-def _scan(texts: list[str | None], kept, short) -> pa.Array:
+def _scan(texts: Iterable[str | None], size: int, kept, short) -> pa.Array:
     """Words and hits of each text; ``kept`` tells which hashes are of interest, ``short`` has the lengths of short windows."""
-    out = [{"n_words": 0, "hits": []} for _ in texts]
+    out = [{"n_words": 0, "hits": []} for _ in range(size)]
     for first, piece in slices(texts):
         edges = piece.words.tolist()
         for i, (a, b) in enumerate(zip(edges, edges[1:])):
             out[first + i]["n_words"] = b - a
-        for size in (None, *short):
-            places, hashes = piece.kept(GRAM, SPAN) if size is None else piece.runs(size)
+        for length in (None, *short):
+            places, hashes = piece.kept(GRAM, SPAN) if length is None else piece.runs(length)
             good = kept(hashes)
             places, hashes = places[good], hashes[good]
             # A short window may have GRAM words too; a negative size marks it.
-            label = GRAM if size is None else -size
+            label = GRAM if length is None else -length
             for i, at, h in zip((np.searchsorted(piece.words, places, "right") - 1).tolist(), places.tolist(), hashes):
                 out[first + i]["hits"].append(_hit(piece, edges[i], edges[i + 1], label, at, h))
     return pa.array(out, _FOUND)
@@ -90,7 +90,7 @@ def _item_windows(texts: pa.Array) -> pa.Array:
         piece = Slice([(text or "").encode("utf-8", "surrogatepass")])
         n = len(piece.hash)
         short = (n,) if 0 < n < SPAN else ()
-        out += _scan([text], lambda h: np.ones(len(h), bool), short).to_pylist()
+        out += _scan([text], 1, lambda h: np.ones(len(h), bool), short).to_pylist()
     return pa.array(out, _FOUND)
 
 
@@ -128,7 +128,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     @F.arrow_udf(_FOUND_SQL)
     def scanned(texts: pa.Array) -> pa.Array:
         known = shared.value
-        return _scan(texts.to_pylist(), lambda h: _among(h, known), sorted(short))
+        return _scan(lazily(texts), len(texts), lambda h: _among(h, known), sorted(short))
 
     rows = with_row(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *carry))
     rows = stage(rows.select("_row", "doc_id", *carry, scanned("text").alias("f")).select("_row", "doc_id", *carry, "f.*"))

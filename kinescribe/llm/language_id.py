@@ -14,7 +14,7 @@ they occur. Equal scores go to the language that sorts first.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinescribe.llm.common import lazily
+
 UNKNOWN = "und"
 MAX_LANGUAGES = 256
 BUCKETS = 1 << 15
@@ -56,7 +58,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1)
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def slices(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Code points of consecutive texts: (text numbers, start of each, code points with non-letters as blanks).
 
     A slice holds about ``SLICE`` characters; a longer text is spread over several slices, which repeat the
@@ -116,7 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sorted(counts)
         place = {lang: i for i, lang in enumerate(order)}
         seen = np.zeros(len(order) * BUCKETS, np.int64)
-        for numbers, starts, codes in slices(batch.column(0).to_pylist()):
+        for numbers, starts, codes in slices(lazily(batch.column(0))):
             of = np.array([place[langs[i]] for i in numbers], np.int64) * BUCKETS
             n = len(codes) - max(LENGTHS) + 1
             base = np.repeat(of, np.diff(np.append(starts, n)))
@@ -169,7 +171,7 @@ def predictor(spark: SparkSession, model: LanguageModel):
         languages, priors, table = shared.value
         total = np.tile(priors, (len(texts), 1)) if languages else np.zeros((len(texts), 1))
         letters = np.zeros(len(texts), bool)
-        for numbers, starts, codes in slices(texts.to_pylist()):
+        for numbers, starts, codes in slices(lazily(texts)):
             n = len(codes) - max(LENGTHS) + 1
             has = np.logical_or.reduceat(codes[:n] != _SPACE, np.minimum(starts + 1, n - 1))
             np.logical_or.at(letters, numbers, has)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinescribe.llm.common import lazily
 from kinescribe.llm.word_ids import sentence_ends, word_ids
 
 LIMIT = 2048
@@ -164,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in zip(lazily(batch.column(0)), lazily(batch.column(1))):
                 for rows in packer.add(key, words.ids(text) + last):
                     yield batch_of(rows, kind)
         if packer.size:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import PLACE, located, stage, with_place, without
+from kinescribe.llm.common import PLACE, lazily, located, stage, with_place, without
 from kinescribe.llm.components import connected_components
 
 BITS = 64
@@ -58,7 +58,7 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(texts: pa.Array) -> pa.Array:
     """SimHash of each text; the 64 bits as a signed long."""
-    found = [fingerprint_of(t) for t in texts.to_pylist()]
+    found = [fingerprint_of(t) for t in lazily(texts)]
     return pa.array(np.array(found, np.uint64).view(np.int64))
 
 

@@ -6,7 +6,7 @@ of a word, taken from running sums over a whole slice of texts; who relies on eq
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +28,7 @@ def _alphabet() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     inverse = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -52,7 +52,7 @@ class Slice:
         inside = self.data > 0
         edges = np.flatnonzero(np.diff(inside, prepend=False))
         self.first, self.end = edges[0::2], edges[1::2]
-        step = 1 << (int(len(self.data)).bit_length())
+        step = max(2 * SLICE, 1 << int(len(self.data)).bit_length())
         up, down = _powers(step)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(self.data.astype(np.uint64) * up[: len(self.data)])])
         self._sums, self._down = sums, down
@@ -104,7 +104,7 @@ class Slice:
         return b" ".join(self.data[i:j].tobytes() for i, j in zip(self.first[a:b], self.end[a:b])).decode("utf-8", "replace")
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, Slice]]:
+def slices(texts: Iterable[str | None]) -> Iterator[tuple[int, Slice]]:
     """(number of the first text, slice) over consecutive texts."""
     held: list[bytes] = []
     start = size = 0

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Runs whose ids are remembered; the cache starts anew when it is full.
-REMEMBERED = 3 << 18
+REMEMBERED = 3 << 17
 #: Bytes of a text split at a time.
 PART = 1 << 20
 
