@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinescribe.plans.staging import fresh_folder
 
-__all__ = ["PLACE", "folded", "id_text", "lazily", "located", "maybe_in", "read", "stage", "with_place", "with_row", "without"]
+__all__ = ["PLACE", "folded", "id_text", "lazily", "located", "maybe_in", "read", "small_batches", "stage", "with_place", "with_row", "without"]
 
 #: Columns that tell rows apart by where they are stored.
 PLACE = ["_kinescribe_file", "_kinescribe_row"]
@@ -25,6 +25,17 @@ def stage(df: DataFrame, *parts: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows per Arrow batch of whole texts; the session's default of 10,000 would hold tens of megabytes several times over.
+BATCH_ROWS = 1 << 10
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send texts to Python in batches of at most ``BATCH_ROWS`` rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 #: Texts of a batch that are Python strings at the same time.
 AT_ONCE = 256
 

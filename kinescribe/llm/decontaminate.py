@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import PLACE, lazily, located, stage, with_place, with_row, without
+from kinescribe.llm.common import PLACE, lazily, located, small_batches, stage, with_place, with_row, without
 from kinescribe.llm.word_hashes import Slice, slices
 
 #: Words of a window: what counts as shared.
@@ -116,6 +116,7 @@ def _common(a: str, b: str, n: int):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: ``doc_id``, the columns ``carry``, ``n_words``, ``spans`` (disjoint ranges of hit words: start, end), ``n_hit`` and ``item_ids`` (strings, sorted)."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = stage(with_row(benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), "item_row"))
     hits = items.select("item", "item_row", F.inline(F.arrow_udf(_item_windows, _FOUND_SQL)("text")["hits"]))
     passages = hits.groupBy("size", "hash", "before", "gram", "after").agg(F.min(F.struct("item_row", "place")).alias("passage"))

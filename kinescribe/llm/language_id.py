@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import lazily
+from kinescribe.llm.common import lazily, small_batches
 
 UNKNOWN = "und"
 MAX_LANGUAGES = 256
@@ -140,6 +140,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Naive Bayes model of all rows that have a text and a language."""
+    small_batches(docs.sparkSession)
     known = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
     counted = known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counted = counted.persist()
@@ -164,6 +165,7 @@ def train_languages(docs: DataFrame, text: str = "text", lang: str = "lang") ->
 
 def predictor(spark: SparkSession, model: LanguageModel):
     """Column function: text to a struct (lang_pred, score)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.log_priors, model.log_probs))
 
     @F.arrow_udf("lang_pred string, score double")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinescribe.llm.common import lazily
+from kinescribe.llm.common import lazily, small_batches
 from kinescribe.llm.word_ids import sentence_ends, word_ids
 
 LIMIT = 2048
@@ -145,6 +145,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    small_batches(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType([
         T.StructField(doc_id, id_type), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()),

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import PLACE, lazily, located, stage, with_place, without
+from kinescribe.llm.common import PLACE, lazily, located, small_batches, stage, with_place, without
 from kinescribe.llm.components import connected_components
 
 BITS = 64
@@ -138,6 +138,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _classes(docs: DataFrame, doc_id: str, text: str, distance: int, carry: Sequence[str]) -> DataFrame:
     """As above, with the smallest fingerprint of the component as ``_component``."""
+    small_batches(docs.sparkSession)
     marked = docs.select(F.col(doc_id).alias("_id"), F.arrow_udf(fingerprints, "long")(F.col(text).cast("string")).alias("fp"), *carry)
     marked = stage(marked)
     nodes = stage(marked.groupBy("fp").agg(F.min("_id").alias("first_id")))
