@@ -38,7 +38,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
@@ -63,7 +63,7 @@ class Slice:
     def prefix(self, size: int) -> np.ndarray:
         """Hash of the first ``size`` bytes of each word."""
         end = np.minimum(self.end, self.first + size)
-        return _mixed((self._sums[end] - self._sums[self.first]) * self._down[self.first])
+        return mixed((self._sums[end] - self._sums[self.first]) * self._down[self.first])
 
     def grams(self, size: int) -> np.ndarray:
         """Hash of the ``size`` words that start at each word; the last ones of the slice are left out."""
@@ -71,7 +71,7 @@ class Slice:
         h = np.full(n, size, np.uint64)
         for k in range(size):
             h = h * _P + self.hash[k : k + n]
-        return _mixed(h)
+        return mixed(h)
 
     def left(self, size: int) -> np.ndarray:
         """For each word, the words of its text from there on, less ``size``: negative if too few."""
