@@ -8,11 +8,13 @@
 3. Label model. A generative model has a class prior and, for each class, a tree over the voters: every voter depends on
    the class and on one other voter (the maximum spanning tree of conditional mutual information). Its tables are the
    accuracies and the correlations of the voters. It is fitted by EM to labelled and unlabelled rows; known labels stay.
-4. Classifier. Logistic regression on hashed terms and votes learns the posterior labels of a sample of about ``FIT_ROWS``
-   rows of the training fold (all of them, if there are fewer), chosen by a hash of the text. It scores whole texts.
+4. Classifier. Logistic regression on hashed terms and votes learns the labels, or else the posterior labels, of a sample of
+   at most ``FIT_ROWS`` rows of the training fold (all of them, if there are fewer): labelled rows first, then by a hash of
+   the row's id and place, so copies of a text are drawn one by one. It scores whole texts.
 
 Tables that grow with the data are counted in tasks and summed by shuffles; the driver gets ``MOST_TERMS`` terms per kind, the table
-of votes and the bounded sample. Only those are broadcast again.
+of votes and the sample. The sample's features (at most FEATURES + VOTERS a row) are streamed into a temporary file of the driver
+and read in blocks of ``FIT_BLOCK`` numbers. Terms, the keys of the sample and the weights are broadcast.
 
 Edge cases: a null or wordless text has no terms and is scored by the classifier's constant. Labels other than 0 and 1 and rows without a
 text teach nothing; of several labels of one row the highest counts. Without labels there are no lexicons, and without
@@ -22,15 +24,17 @@ any training row every score is ``PRIOR``. Repeated rows count as often as they
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import maybe_in, stage
+from kinescribe.llm.common import PLACE, located, maybe_in, stage, with_place
 from kinescribe.llm.word_hashes import Slice, slices
 
 #: Kinds of terms: whole words, and words cut after so many bytes.
@@ -40,8 +44,8 @@ TERM_BUCKETS, FEATURES = 1 << 22, 1 << 18
 MOST_TERMS = 1 << 12
 STRONG, WEAK = 0.75, 0.35
 FIT_ROWS = 1 << 13
-#: Rows of the sample whose features are unfolded at a time.
-FIT_BLOCK = 1 << 10
+#: Features of the sample that are read at a time; a row has no more than this.
+FIT_BLOCK = 1 << 19
 PRIOR = 0.1
 EM_ROUNDS, FIT_ROUNDS = 50, 150
 #: Weight of the squared weights in the classifier's loss.
@@ -213,9 +217,21 @@ def _values(owner: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
     return np.where(term, 1 / np.sqrt(size)[owner], 1.0)
 
 
-def _fit(rows: list[bytes], target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with a pull towards 0, by accelerated gradient descent; rows hold their features as 32-bit numbers."""
+def _blocks(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Consecutive rows with at most FIT_BLOCK features together."""
+    ends, blocks, first = np.cumsum(lengths), [], 0
+    while first < len(lengths):
+        done = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, done + FIT_BLOCK, "right")))
+        blocks.append((first, end))
+        first = end
+    return blocks
+
+
+def _fit(features: BinaryIO, lengths: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with a pull towards 0, by accelerated gradient descent; ``features`` holds those of all rows as 32-bit numbers."""
     n = len(target)
+    blocks = _blocks(lengths)
     # The slope changes by at most a quarter of the squared length of a row: terms 1, constant 1, votes.
     step = 4.0 / (2 + VOTERS)
     at = np.zeros(FEATURES + VOTERS + 1)
@@ -225,22 +241,30 @@ def _fit(rows: list[bytes], target: np.ndarray) -> tuple[np.ndarray, float]:
         ahead = at + (k - 1) / (k + 2) * (at - before)
         slope = PULL * ahead
         slope[-1] = 0.0
-        for first in range(0, n, FIT_BLOCK):
-            part = rows[first : first + FIT_BLOCK]
-            features = np.frombuffer(b"".join(part), "<u4").astype(np.int64)
-            owner = np.repeat(np.arange(len(part)), [len(r) // 4 for r in part])
-            values = _values(owner, features, len(part))
-            z = np.bincount(owner, weights=ahead[features] * values, minlength=len(part)) + ahead[-1]
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[first : first + FIT_BLOCK]) / n
-            slope[:-1] += np.bincount(features, weights=error[owner] * values, minlength=len(at) - 1)
+        features.seek(0)
+        for first, end in blocks:
+            size = lengths[first:end]
+            part = np.frombuffer(features.read(4 * int(size.sum())), "<u4").astype(np.int64)
+            owner = np.repeat(np.arange(end - first), size)
+            values = _values(owner, part, end - first)
+            z = np.bincount(owner, weights=ahead[part] * values, minlength=end - first) + ahead[-1]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[first:end]) / n
+            slope[:-1] += np.bincount(part, weights=error[owner] * values, minlength=len(at) - 1)
             slope[-1] += error.sum()
         before, at = at, ahead - step * slope
     return at[:-1], float(at[-1])
 
 
+def fit_sample(rows: DataFrame, known: DataFrame, size: int | None = None) -> DataFrame:
+    """Places and hashes of at most ``size`` (``FIT_ROWS``) of ``rows`` (doc_id and place): labelled ones first, then by the hash."""
+    keyed = rows.select("doc_id", *PLACE).join(known.select("doc_id", F.lit(1).alias("told")), "doc_id", "left")
+    keyed = keyed.withColumn("h", F.xxhash64("doc_id", PLACE[1]))
+    return keyed.orderBy(F.col("told").desc_nulls_last(), "h", "doc_id", *PLACE).limit(FIT_ROWS if size is None else size).select(*PLACE, "h")
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ToxicityModel:
     """Model from all rows of ``docs`` (the training fold), of which ``labels`` covers some."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    rows = with_place(located(docs)).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *PLACE).where("text IS NOT NULL")
     known = labels.where(F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(toxic).cast("int").alias("toxic"))
     known = stage(known)
     labelled = maybe_in(rows, known, "doc_id").join(known, "doc_id").select("text", "toxic")
@@ -257,10 +281,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
             found[i] = features[a:b].astype("<u4").tobytes()
         return pa.StructArray.from_arrays([pa.array(votes), pa.array(found, pa.binary())], ["votes", "features"])
 
-    n = rows.count()
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.lit(int(min(1.0, FIT_ROWS / max(1, n)) * (1 << 40)))
-    voted = rows.select("doc_id", F.xxhash64("text").alias("h"), F.arrow_udf(vote, "votes long, features binary")("text", part).alias("v"))
-    voted = stage(voted.select("doc_id", "h", "v.*"))
+    # At most FIT_ROWS keys.
+    sample = stage(fit_sample(rows, known))
+    marked = rows.join(F.broadcast(sample), PLACE, "left")
+    voted = stage(marked.select("doc_id", "h", F.arrow_udf(vote, "votes long, features binary")("text", F.col("h").isNotNull()).alias("v")).select("doc_id", "h", "v.*"))
     told = voted.select("doc_id", "votes").join(known, "doc_id", "left").groupBy("votes").agg(
         *[F.count(F.when(F.col("toxic") == c, 1)).alias(f"n{c}") for c in (0, 1)], F.count(F.when(F.col("toxic").isNull(), 1)).alias("n2")
     ).orderBy("votes").toPandas()
@@ -269,10 +293,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     patterns, counts = told["votes"].to_numpy(np.int64), told[["n0", "n1", "n2"]].to_numpy(float)
     posterior = label_model(patterns, counts)
 
-    # About FIT_ROWS rows, by the chance above.
-    chosen = voted.where("features IS NOT NULL").join(known, "doc_id", "left").orderBy("h", "doc_id").toPandas()
-    target = np.where(chosen["toxic"].notna(), chosen["toxic"].fillna(0), posterior[np.searchsorted(patterns, chosen["votes"])]).astype(float)
-    weights, constant = _fit([bytes(r) for r in chosen["features"]], target)
+    chosen = voted.where("features IS NOT NULL").join(known, "doc_id", "left").orderBy("h", "doc_id").select("features", "toxic", "votes")
+    lengths, target = [], []
+    with tempfile.TemporaryFile() as file:
+        for row in chosen.toLocalIterator():
+            file.write(row.features)
+            lengths.append(len(row.features) // 4)
+            target.append(posterior[np.searchsorted(patterns, row.votes)] if row.toxic is None else row.toxic)
+        weights, constant = _fit(file, np.array(lengths, np.int64), np.array(target, float))
     return ToxicityModel(strong, weak, weights.astype(np.float32), constant)
 
 
