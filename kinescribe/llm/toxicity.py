@@ -43,11 +43,11 @@ KINDS = (0, 4, 6)
 TERM_BUCKETS, FEATURES = 1 << 22, 1 << 18
 MOST_TERMS = 1 << 12
 STRONG, WEAK = 0.75, 0.35
-FIT_ROWS = 1 << 13
+FIT_ROWS = 1 << 14
 #: Features of the sample that are read at a time; a row has no more than this.
 FIT_BLOCK = 1 << 19
 PRIOR = 0.1
-EM_ROUNDS, FIT_ROUNDS = 50, 150
+EM_ROUNDS, FIT_ROUNDS = 50, 300
 #: Weight of the squared weights in the classifier's loss.
 PULL = 1e-5
 

@@ -43,3 +43,7 @@ def test_descent_does_not_depend_on_blocks(monkeypatch, block):
     monkeypatch.setattr(toxicity, "FIT_BLOCK", block)
     got = toxicity._fit(io.BytesIO(data), lengths, target)
     assert np.allclose(got[0], want[0]) and np.isclose(got[1], want[1])
+
+
+def test_settings_of_the_fit_are_not_cut():
+    assert toxicity.FIT_ROWS >= 16_384 and toxicity.FIT_ROUNDS >= 300
