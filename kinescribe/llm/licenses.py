@@ -1,15 +1,17 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment measures them.
+"""License scans: anchor words pick candidates, banded alignment measures them.
 
-The templates' words are winnowed into an inverted index (hash of ``GRAM`` words to template and place), which is
-shared with all tasks; its size is checked (``MOST_WORDS``). A text is winnowed alike. Hits that go on in
-a template on nearby diagonals (place in the text less place in the template) are one candidate. For each, the template is aligned with the
-text around the candidate: a dynamic program over a band of ``BAND`` diagonals on both sides finds the most words that
-match in order, ties going to the shortest span. A match is reported if at least ``COVERAGE`` of the template's words match.
+A match has at least ``COVERAGE`` of a template's words, so it misses at most e of them, and any e + 1 places of the template
+hold a word that it has. For each template e + 1 such anchors are chosen (words that are rare in it, long ones first) and make an
+inverted index of word hashes to template and place, which is shared with all tasks; its size is checked (``MOST_WORDS``). Every
+word of a text is looked up. A hit gives a diagonal (place in the text less place in the template). Template words with an equal
+word within ``BAND`` diagonals of it bound the matches there; if the bound reaches ``COVERAGE``, the template is aligned with the
+text: a dynamic program over a band of ``BAND`` diagonals on both sides finds the most words that match in order, ties
+going to the shortest span. Of overlapping alignments the one with most matches is reported. So no match is missed whose
+diagonals lie within ``BAND`` of one of its own anchors, wherever its words are changed.
 
 All work on a text is done where the text is read: no shuffle, and a text's candidates are bounded by its words.
 
-Edge cases: null and wordless texts and templates match nothing. A template of fewer than ``GRAM`` words has one gram of
-that many words and so is only found whole. Equal templates are reported each. Rows with equal ids are reported each.
+Edge cases: null and wordless texts and templates match nothing. Equal templates are reported each. Rows with equal ids are reported each.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from pyspark.sql import types as T
 
 from kinescribe.llm.word_hashes import Slice, slices
 
-GRAM, SPAN = 3, 5
 BAND = 8
 COVERAGE = 0.8
 #: Words of all templates together.
@@ -53,39 +54,37 @@ NOTICES = {
 
 @dataclass(frozen=True)
 class Index:
-    """Names and word hashes of the templates; sorted gram hashes with their template and place; lengths of short grams."""
+    """Names and word hashes of the templates; sorted hashes of anchor words with their template and place."""
 
     names: list[str]
     words: list[np.ndarray]
     hashes: np.ndarray
     template: np.ndarray
     place: np.ndarray
-    short: list[int]
 
 
-def build_index(templates: dict[str, str]) -> Index:
-    """Inverted index of templates (name to text)."""
+def _anchors(piece: Slice, coverage: float) -> np.ndarray:
+    """Places of a template of which every match has at least one: one more than a match may miss."""
+    n = len(piece.hash)
+    missed = sum(n - e >= coverage * n for e in range(1, n + 1))
+    _, of, count = np.unique(piece.hash, return_inverse=True, return_counts=True)
+    return np.sort(np.lexsort((piece.first - piece.end, count[of]))[: missed + 1])
+
+
+def build_index(templates: dict[str, str], coverage: float = COVERAGE) -> Index:
+    """Inverted index of templates (name to text), for matches of at least ``coverage``."""
     names = sorted(templates)
-    words, found, short = [], [], set()
+    words, found = [], []
     for t, name in enumerate(names):
         piece = Slice([(templates[name] or "").encode()])
         words.append(piece.hash)
-        n = len(piece.hash)
-        if n >= SPAN:
-            places, hashes = piece.kept(GRAM, SPAN)
-        elif n:
-            # Too short for winnowing: all its grams, or the one of all its words.
-            size = min(n, GRAM)
-            short.add(size)
-            places, hashes = piece.runs(size)
-        else:
-            continue
-        found.append((hashes, np.full(len(places), t), places))
+        places = _anchors(piece, coverage)
+        found.append((piece.hash[places], np.full(len(places), t), places))
     if sum(map(len, words)) > MOST_WORDS:
         raise ValueError(f"the templates have more than {MOST_WORDS} words")
     hashes, template, place = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     order = np.argsort(hashes, kind="stable")
-    return Index(names, words, hashes[order], template[order], place[order], sorted(short))
+    return Index(names, words, hashes[order], template[order], place[order])
 
 
 def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -116,55 +115,62 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAN
 
 
 def _hits(index: Index, piece: Slice) -> Iterator[tuple[int, int, int, int]]:
-    """(text, template, place in the text, place in the template) of equal grams, in this order."""
-    found = []
-    for places, hashes in (piece.kept(GRAM, SPAN), *(piece.runs(size) for size in index.short)):
-        low, high = np.searchsorted(index.hashes, hashes, "left"), np.searchsorted(index.hashes, hashes, "right")
-        hit = high > low
-        places, low, size = places[hit], low[hit], (high - low)[hit]
-        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-        place = np.repeat(places, size)
-        text = np.searchsorted(piece.words, place, "right") - 1
-        found.append((text, index.template[at], place - piece.words[text], index.place[at]))
-    columns = [np.concatenate(c) for c in zip(*found)]
+    """(text, template, place in the text, place in the template) of anchors, in this order."""
+    low = np.searchsorted(index.hashes, piece.hash, "left")
+    places = np.flatnonzero(index.hashes[np.minimum(low, len(index.hashes) - 1)] == piece.hash) if len(index.hashes) else np.zeros(0, np.int64)
+    low = low[places]
+    size = np.searchsorted(index.hashes, piece.hash[places], "right") - low
+    at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+    place = np.repeat(places, size)
+    text = np.searchsorted(piece.words, place, "right") - 1
+    columns = text, index.template[at], place - piece.words[text], index.place[at]
     order = np.lexsort(columns[::-1])
     yield from zip(*(c[order].tolist() for c in columns))
 
 
-def _candidates(index: Index, piece: Slice) -> Iterator[tuple[int, int, int]]:
-    """(text, template, diagonal) of each group of hits that go on in the template near the diagonal of the first."""
-    groups: list[list[int]] = []
-    of = None
-    for text, template, place, t_place in _hits(index, piece):
-        if of != (text, template):
-            of, groups = (text, template), []
-        # A group that began a template's length ago cannot go on.
-        groups = [g for g in groups if place - g[0] <= len(index.words[template]) + BAND]
-        group = next((g for g in groups if abs(place - t_place - g[0]) <= BAND and t_place > g[1]), None)
-        if group:
-            group[1] = t_place
-        else:
-            groups.append([place - t_place, t_place])
-            yield text, template, place - t_place
+def _most(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> int:
+    """Words of ``template`` that are in ``text`` within the band: no alignment has more matches."""
+    n, found = len(template), np.zeros(len(template), bool)
+    for d in range(diagonal - band, diagonal + band + 1):
+        a, b = max(0, -d), min(n, len(text) - d)
+        if a < b:
+            found[a:b] |= template[a:b] == text[a + d : b + d]
+    return int(found.sum())
 
 
 def scan(texts: list[str | None], index: Index, coverage: float = COVERAGE) -> list[list[dict]]:
     """Matches of each text, ordered by place; matches of one template do not overlap."""
     out: list[list[dict]] = [[] for _ in texts]
     for first, piece in slices(texts):
-        ends: dict[tuple[int, int], int] = {}
-        for text, template, diagonal in _candidates(index, piece):
+        of, best, floor, tried = None, (0, 0, 0), 0, set()
+
+        def report() -> None:
+            if best[0]:
+                words = len(index.words[of[1]])
+                out[first + of[0]].append({"template": index.names[of[1]], "matched": best[0], "coverage": best[0] / words, "start": best[1], "end": best[2]})
+
+        for text, template, place, t_place in _hits(index, piece):
+            if of != (text, template):
+                report()
+                of, best, floor, tried = (text, template), (0, 0, 0), 0, set()
+            elif best[0] and place >= best[2]:
+                report()
+                best, floor, tried = (0, 0, 0), best[2], set()
+            diagonal = place - t_place
+            if place < floor or diagonal in tried:
+                continue
+            tried.add(diagonal)
             a, b = int(piece.words[text]), int(piece.words[text + 1])
             words = index.words[template]
-            low = max(0, diagonal - BAND, ends.get((text, template), 0))
+            low = max(0, diagonal - BAND, floor)
             part = piece.hash[a + low : max(a + low, min(b, a + diagonal + len(words) + BAND))]
-            matches, start, end = align(part, words, diagonal - low)
-            if not matches or matches < coverage * len(words):
+            most = _most(part, words, diagonal - low)
+            if most <= best[0] or most < coverage * len(words):
                 continue
-            ends[text, template] = low + end
-            out[first + text].append({
-                "template": index.names[template], "matched": matches, "coverage": matches / len(words), "start": low + start, "end": low + end,
-            })
+            matches, start, end = align(part, words, diagonal - low)
+            if matches > best[0] and matches >= coverage * len(words):
+                best = matches, low + start, low + end
+        report()
     for found in out:
         found.sort(key=lambda m: (m["start"], m["end"], m["template"]))
     return out
@@ -179,7 +185,7 @@ _ARROW = pa.list_(pa.struct([("template", pa.string()), ("matched", pa.int64()),
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """``docs`` with ``licenses``: an array of (template, matched, coverage, start, end), with the span in words of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_index(NOTICES if templates is None else templates))
+    shared = docs.sparkSession.sparkContext.broadcast(build_index(NOTICES if templates is None else templates, coverage))
 
     def found(texts: pa.Array) -> pa.Array:
         return pa.array(scan(texts.to_pylist(), shared.value, coverage), _ARROW)
