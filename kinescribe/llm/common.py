@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinescribe.plans.staging import fresh_folder
 
-__all__ = ["PLACE", "folded", "id_text", "lazily", "located", "maybe_in", "read", "small_batches", "stage", "with_place", "with_row", "without"]
+__all__ = ["PLACE", "batches", "folded", "id_text", "lazily", "located", "maybe_in", "read", "small_batches", "stage", "with_place", "with_row", "without"]
 
 #: Columns that tell rows apart by where they are stored.
 PLACE = ["_kinescribe_file", "_kinescribe_row"]
@@ -36,6 +37,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Bytes of an Arrow batch of texts, for the same reason.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside sends whole texts to Python in small batches; the session's settings are restored."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {key: spark.conf.get(key, None) for key in limits}
+    for key, most in limits.items():
+        if before[key] is None or not before[key].isdigit() or not 0 < int(before[key]) <= most:
+            spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 #: Texts of a batch that are Python strings at the same time.
 AT_ONCE = 256
 

@@ -29,6 +29,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = stage(links)
+    if links.isEmpty():
+        return links.toDF("node", "component")
     before = None
     for _ in range(MAX_STEPS):
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, licenses, packing, sharding, simhash, token_counts, toxicity
+from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, licenses, minhash, packing, sharding, simhash, token_counts, toxicity
 from kinescribe.llm.common import PLACE, folded, read
 
 QUERIES = {}
@@ -114,3 +114,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op13_minhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))

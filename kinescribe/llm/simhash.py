@@ -12,11 +12,15 @@ so the join runs twice. First every fingerprint is compared with the smallest on
 most five comparisons each, and the links found give provisional components. The full join then only lets
 through pairs of different provisional components. No bucket is cut; a bucket with very many fingerprints is
 a skewed join key, which adaptive execution splits.
+
+``drop_similar`` asks for a similarity of word shingles instead of a number of bits. There the chains tell which documents are compared
+first, and whole sets of shingles decide. Sets of similarity 0.8 differ in about 10 of 64 bits, which no chain filter of 64 bits can
+select, so bands of minima (``minhash``) supply the pairs that the fingerprints miss.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinescribe.llm import minhash
 from kinescribe.llm.common import PLACE, lazily, located, small_batches, stage, with_place, without
 from kinescribe.llm.components import connected_components
 
@@ -56,12 +61,19 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(first)).tobytes(), "big")
 
 
-def fingerprints(texts: pa.Array) -> pa.Array:
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> pa.Array:
     """SimHash of each text; the 64 bits as a signed long."""
-    found = [fingerprint_of(t) for t in lazily(texts)]
+    found = [fingerprint_of(t, shingle) for t in lazily(texts)]
     return pa.array(np.array(found, np.uint64).view(np.int64))
 
 
+def _printer(shingle: int) -> Callable[[pa.Array], pa.Array]:
+    def prints(texts: pa.Array) -> pa.Array:
+        return fingerprints(texts, shingle)
+
+    return prints
+
+
 def _segments(count: int) -> list[tuple[int, int]]:
     """(lowest bit, width) of each segment."""
     edges = [BITS * i // count for i in range(count + 1)]
@@ -108,13 +120,17 @@ def _within_budgets(a: Column, b: Column, start: Column, distance: int) -> Colum
     return passed & (_differing(a, b) <= distance)
 
 
-def linked_fingerprints(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, component) of distinct fingerprints ``fp``: components of "at most ``distance`` differing bits"."""
+def star_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, low): fingerprints of ``nodes`` that are linked with the smallest one of the same key."""
     plain = _keys(nodes.select("fp"), distance, False)
     smallest = plain.groupBy("start", "key").agg(F.min("fp").alias("low"))
     near = plain.join(smallest, ["start", "key"]).where(F.col("fp") != F.col("low"))
-    near = near.where(_within_budgets(F.col("fp"), F.col("low"), F.col("start"), distance))
-    rough = connected_components(near.select(F.col("fp").alias("a"), F.col("low").alias("b")))
+    return near.where(_within_budgets(F.col("fp"), F.col("low"), F.col("start"), distance)).select("fp", "low")
+
+
+def linked_fingerprints(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, component) of distinct fingerprints ``fp``: components of "at most ``distance`` differing bits"."""
+    rough = connected_components(star_pairs(nodes, distance).select(F.col("fp").alias("a"), F.col("low").alias("b")))
     rough = nodes.select("fp").join(rough, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
     rough = stage(rough)
 
@@ -139,7 +155,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _classes(docs: DataFrame, doc_id: str, text: str, distance: int, carry: Sequence[str]) -> DataFrame:
     """As above, with the smallest fingerprint of the component as ``_component``."""
     small_batches(docs.sparkSession)
-    marked = docs.select(F.col(doc_id).alias("_id"), F.arrow_udf(fingerprints, "long")(F.col(text).cast("string")).alias("fp"), *carry)
+    marked = docs.select(F.col(doc_id).alias("_id"), F.arrow_udf(_printer(SHINGLE), "long")(F.col(text).cast("string")).alias("fp"), *carry)
     marked = stage(marked)
     nodes = stage(marked.groupBy("fp").agg(F.min("_id").alias("first_id")))
     classes = stage(linked_fingerprints(nodes, distance))
@@ -154,3 +170,22 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = stage(_classes(with_place(docs), doc_id, text, distance, PLACE).select(F.col(doc_id).alias("id"), "_component", *PLACE))
     best = rows.groupBy("_component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", *PLACE)).alias("k"))
     return without(docs, rows.join(best.select("k." + PLACE[0], "k." + PLACE[1]), PLACE, "left_anti"))
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each component of "sets of word shingles are similar": the smallest id, of several the first by place.
+
+    Null and blank texts are copies of each other.
+    """
+    docs = located(docs)
+    prints = F.arrow_udf(_printer(shingle), "long")(F.col(text).cast("string"))
+    rows, nodes = minhash.sketched(docs, text, shingle, F.col(doc_id).alias("id"), prints.alias("fp"))
+    marked = rows.where("size > 0").groupBy("node").agg(F.first("fp").alias("fp"))
+    firsts = marked.groupBy("fp").agg(F.min("node").alias("centre"))
+    marked, firsts = stage(marked), stage(firsts)
+    equal = marked.join(firsts, "fp").where("node <> centre").select("node", "centre")
+    near = star_pairs(firsts, distance).join(firsts.withColumnRenamed("centre", "node"), "fp")
+    near = near.join(firsts.withColumnRenamed("fp", "low"), "low").select("node", "centre")
+    classes = minhash.linked_sets(nodes, docs, text, shingle, similarity, equal.union(near))
+    blank = rows.where("size = 0").select("node", F.col("node").alias("component")).distinct()
+    return minhash.first_of_each(docs, rows, stage(classes.union(blank)))

@@ -7,7 +7,7 @@ import plain
 import pytest
 
 import corpus_pipeline
-from kinescribe.llm import near_copies
+from kinescribe.llm import simhash
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -64,4 +64,4 @@ def test_near_dedup_of_planted_edits(spark):
 def test_near_dedup_of_odd_rows(spark):
     rows = [(3, None), (4, ""), (5, " \n"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "A b c d e f"), (8, "x " * 50_000), (9, "other words")]
     assert stage_keeps(spark, spark.createDataFrame([(i, t, None) for i, t in rows], DOCS)) == [3, 7, 8, 9]
-    assert near_copies.drop_near_copies(spark.createDataFrame([], DOCS)).count() == 0
+    assert simhash.drop_similar(spark.createDataFrame([], DOCS)).count() == 0
