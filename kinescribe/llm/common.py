@@ -42,9 +42,9 @@ BATCH_BYTES = 8 << 20
 
 
 @contextmanager
-def batches(spark: SparkSession) -> Iterator[None]:
+def batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """What is run inside sends whole texts to Python in small batches; the session's settings are restored."""
-    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
     before = {key: spark.conf.get(key, None) for key in limits}
     for key, most in limits.items():
         if before[key] is None or not before[key].isdigit() or not 0 < int(before[key]) <= most:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescribe.llm import chat, decontaminate, exact_dedup, language_id, licenses, minhash, packing, sharding, simhash, token_counts, toxicity
+from kinescribe.llm import chat, collocations, decontaminate, exact_dedup, hard_negatives, language_id, licenses, minhash, packing, sharding, simhash, token_counts, toxicity
 from kinescribe.llm.common import PLACE, folded, read
 
 QUERIES = {}
@@ -116,6 +116,65 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP11_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE id <> anchor_id AND label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 10"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", changed), F.col("id") % 100 == 0)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k AS length, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k))),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE length = 1 GROUP BY lang),
+found AS (SELECT lang, phrase, length, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+phrases AS (SELECT *, string_split(phrase, ' ') AS w FROM found WHERE length > 1),
+cuts AS (SELECT *, unnest(generate_series(1, length - 1)) AS k FROM phrases),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * c.f // (l.f::HUGEINT + r.f) AS BIGINT) AS score, k
+  FROM cuts c JOIN found l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+  JOIN found r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, k + 1, c.length), ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, f
+  FROM (SELECT *, unnest(generate_series(1, length - size + 1)) AS i FROM (SELECT *, unnest(generate_series(2, length - 1)) AS size FROM phrases WHERE length > 2))),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL)
+SELECT s.lang, row_number() OVER w AS rank, s.phrase, s.a, s.l, s.r, t.n, s.score
+FROM scored s JOIN totals t ON t.lang = s.lang LEFT JOIN longer x ON x.lang = s.lang AND x.phrase = s.phrase
+WHERE x.f IS NULL OR 100::HUGEINT * x.f < 80::HUGEINT * s.a
+WINDOW w AS (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase)
+QUALIFY row_number() OVER w <= 2000"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 @query("op13_minhash")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
