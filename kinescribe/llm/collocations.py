@@ -2,9 +2,10 @@
 
 1. Texts are cut into pieces and words. A chunk holds the occurrences of about ``CHUNK`` words of one language: the word at every
    position, with an empty position between pieces, so that adjacent positions always are in one piece. Chunks are written once.
-2. For each length: the occurrences of a chunk are grouped and their counts summed over all chunks by a hash of the phrase. The hashes
-   that occur often enough become a bitmap, a chunk's sorted positions are semi-joined with it, and the counts of the phrases that
-   pass are summed again by their words: these are exact, so equal bits and equal hashes are no matter.
+2. For each length: the occurrences of a chunk are grouped by the 64-bit hash of their phrase, and the counts of all chunks are summed by
+   ranges of hashes, one range per shuffle partition; sorted hashes travel as the steps between them. The hashes that occur often enough
+   become a bitmap, with which a chunk's sorted positions are semi-joined; the phrases that pass are spelled once a task and joined
+   with the sums, so bits shared by several phrases are no matter.
 3. The positions that passed are merge-joined with the positions of frequent words that follow them, which gives the occurrences of the next
    length. Words that are in no frequent phrase leave the relation. It is written before the next length begins.
 
@@ -33,23 +34,36 @@ LONGEST, SUPPORT, BEST = 4, 30, 2000
 #: Least share of a phrase's occurrences, in hundredths, with which a longer phrase replaces it.
 COVERED = 80
 SCALE = 2_000_000
-CHUNK = 1 << 19
-#: Rows of counts that leave a task at a time.
-ROWS = 1 << 16
+CHUNK = 1 << 20
+#: Counts that a task reads before it sums them.
+ROWS = 1 << 20
 BITMAP_BITS = 1 << 26
 
 _BORDERS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _P = np.uint64(0x9E3779B97F4A7C15)
-#: lang, words of the chunk, word at each position (-1: none), sorted positions of the phrases; phrases one word shorter and their counts here.
-_CHUNK = "lang string, words array<string>, tokens array<int>, at array<int>, phrases array<string>, counts array<long>, n long"
-_FIELDS = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("tokens", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("n", pa.int64())])
+#: lang, words (joined by blanks), word at each position (32-bit numbers, -1: none), bits of the positions where phrases start, phrases one
+#: word shorter that the task meets for the first time and their hashes, number of words.
+_CHUNK = "lang string, words binary, tokens binary, starts binary, phrases array<string>, hashes array<long>, n long"
+_FIELDS = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("tokens", pa.binary()), ("starts", pa.binary()), ("phrases", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("n", pa.int64())])
 
 
-def _chunk(lang: str, words: list, tokens: np.ndarray, at: np.ndarray, phrases: list, counts: np.ndarray, n: int) -> pa.RecordBatch:
-    columns = [[lang], [words], [tokens.astype(np.int32)], [at.astype(np.int32)], [phrases], [counts], [n]]
+def _chunk(lang: str, words: list[bytes], tokens: np.ndarray, at: np.ndarray, phrases: list[str], hashes: np.ndarray, n: int) -> pa.RecordBatch:
+    starts = np.zeros(len(tokens), bool)
+    starts[at] = True
+    columns = [lang], [b" ".join(words)], [tokens.astype("<i4").tobytes()], [np.packbits(starts).tobytes()], [phrases], [hashes.view(np.int64)], [n]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS)], schema=_FIELDS)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """(lang, words, word at each position, sorted starts) of chunks."""
+    for batch in batches:
+        for i in range(len(batch)):
+            tokens = np.frombuffer(batch.column("tokens")[i].as_buffer(), "<i4").astype(np.int64)
+            starts = np.unpackbits(np.frombuffer(batch.column("starts")[i].as_buffer(), np.uint8), count=len(tokens))
+            words = batch.column("words")[i].as_py()
+            yield batch.column("lang")[i].as_py(), words.split(b" ") if words else [], tokens, np.flatnonzero(starts)
+
+
 def _occurrences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of the words of (lang, text)."""
     held: dict[str, tuple[dict[bytes, int], list[int]]] = {}
@@ -59,7 +73,7 @@ def _occurrences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, (known, tokens) in held.items():
             places = np.array(tokens, np.int64) - 1
             at = np.flatnonzero(places >= 0)
-            yield _chunk(lang, [w.decode("utf-8", "replace") for w in list(known)[1:]], places, at, [], np.zeros(0, np.int64), len(at))
+            yield _chunk(lang, list(known)[1:], places, at, [], np.zeros(0, np.uint64), len(at))
 
     for batch in rows:
         for lang, text in zip(lazily(batch.column(0)), lazily(batch.column(1))):
@@ -75,72 +89,98 @@ def _occurrences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def _hashes(lang: str, words: list[str], tokens: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def _hashes(lang: str, words: list[bytes], tokens: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Hash of the phrase of ``length`` words at each of the positions."""
     seed = xxhash.xxh64_intdigest(lang)
-    own = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    own = np.array([digest(w, seed) for w in words], np.uint64)
     h = np.full(len(at), length, np.uint64)
     for k in range(length):
         h = h * _P + own[tokens[at + k]]
     return mixed(h)
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return row["tokens"].values.to_numpy(), row["at"].values.to_numpy()
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte: first the lowest byte of each, so that those that are zero lie together and are compressed."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(len(batch)):
-            yield {name: batch.column(name)[i] for name in batch.schema.names}
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _counter(length: int):
-    """Function from chunks to (hash, occurrences in the chunk)."""
+def _counter(length: int, parts: int):
+    """Function from chunks to (part, steps between sorted hashes, occurrences in the chunk); a part is a range of hashes."""
+    edges = np.array([(1 << 64) * p // parts for p in range(1, parts)], np.uint64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            tokens, at = _arrays(row)
-            found, n = np.unique(_hashes(row["lang"].as_py(), row["words"].as_py(), tokens, at, length), return_counts=True)
-            for a in range(0, len(found), ROWS):
-                yield pa.record_batch([pa.array(found[a : a + ROWS].view(np.int64)), pa.array(n[a : a + ROWS])], ["h", "n"])
+        for lang, words, tokens, at in _chunks(batches):
+            found, n = np.unique(_hashes(lang, words, tokens, at, length), return_counts=True)
+            cuts = [0, *np.searchsorted(found, edges).tolist(), len(found)]
+            rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            steps = [_planes(np.diff(found[a:b], prepend=np.uint64(0))) for _, a, b in rows]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array(steps, pa.binary()), pa.array([_planes(n[a:b]) for _, a, b in rows], pa.binary())], ["part", "steps", "n"])
 
     return count
 
 
-def _extender(length: int, bitmap):
-    """Function from chunks of phrases of ``length`` words to chunks of phrases one word longer, with the counts of those that pass."""
+def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, where = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.zeros(len(found), np.uint64)
+    np.add.at(total, where, np.concatenate(counts))
+    return found, total
+
+
+def _adder(support: int):
+    """Function from the rows of some parts to (h, f) of the hashes that occur ``support`` times."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+        for batch in batches:
+            for steps, n in zip(batch.column("steps"), batch.column("n")):
+                hashes.append(np.cumsum(_numbers(steps.as_py()), dtype=np.uint64))
+                counts.append(_numbers(n.as_py()))
+                size += len(counts[-1])
+                # What is held at least doubles between two sums, so each number is summed a few times only.
+                if size > max(ROWS, len(counts[0])):
+                    merged = _summed(hashes, counts)
+                    hashes, counts, size = [merged[0]], [merged[1]], 0
+        found, total = _summed(hashes, counts)
+        often = total >= support
+        yield pa.record_batch([pa.array(found[often].view(np.int64)), pa.array(total[often].astype(np.int64))], ["h", "f"])
+
+    return add
+
+
+def _extender(length: int, longest: int, bitmap):
+    """Function from chunks of phrases of ``length`` words to chunks of phrases one word longer, with the phrases that pass."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
-        for row in _rows(batches):
-            lang, words = row["lang"].as_py(), row["words"].as_py()
-            tokens, at = _arrays(row)
+        met: set[int] = set()
+        for lang, words, tokens, at in _chunks(batches):
             h = _hashes(lang, words, tokens, at, length)
             bit = h & np.uint64(len(bits) * 8 - 1)
             passed = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
             at, h = at[passed], h[passed]
-            # One of the occurrences of each phrase has its words; equal hashes of different phrases are told apart by the words.
-            spelled = tokens[at[:, None] + np.arange(length)]
-            order = np.lexsort(spelled.T[::-1])
-            spelled = spelled[order]
-            new = np.ones(len(at), bool)
-            new[1:] = (spelled[1:] != spelled[:-1]).any(axis=1)
-            first = np.flatnonzero(new)
-            phrases = [" ".join([words[t] for t in row_]) for row_ in spelled[first].tolist()]
-            counts = np.diff([*first.tolist(), len(at)])
-            # Positions that are in a phrase stay.
-            inside = np.zeros(len(tokens) + 1, bool)
-            for k in range(length):
+            found, first = np.unique(h, return_index=True)
+            new = np.array([x not in met for x in found.tolist()], bool)
+            met.update(found[new].tolist())
+            spelled = tokens[at[first[new]][:, None] + np.arange(length)]
+            phrases = [b" ".join([words[t] for t in row]).decode("utf-8", "replace") for row in spelled.tolist()]
+            # Words that are in a phrase stay.
+            inside = np.zeros(len(tokens), bool)
+            for k in range(length if length < longest else 0):
                 inside[at + k] = True
-            kept = np.unique(tokens[inside[:-1] & (tokens >= 0)])
+            kept = np.unique(tokens[inside])
             place = np.full(len(words) + 1, -1, np.int64)
             place[kept] = np.arange(len(kept))
-            left = np.where(inside[:-1], place[tokens], -1)
+            left = np.where(inside, place[tokens], -1)
             # The merge-join: sorted starts of phrases, and sorted positions of words that follow.
-            follows = np.flatnonzero(left >= 0) - length
-            longer = np.intersect1d(at, follows, assume_unique=True)
-            yield _chunk(lang, [words[i] for i in kept.tolist()], left, longer, phrases, counts, 0)
+            longer = np.intersect1d(at, np.flatnonzero(left >= 0) - length, assume_unique=True)
+            # Of several empty positions one is enough.
+            stays = (left >= 0) | (np.concatenate([[0], left[:-1]]) >= 0)
+            yield _chunk(lang, [words[i] for i in kept.tolist()], left[stays], (np.cumsum(stays) - 1)[longer], phrases, found[new], 0)
 
     return extend
 
@@ -166,15 +206,16 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", lo
     with batches(spark):
         chunks = stage(rows.mapInArrow(_occurrences, _CHUNK))
     totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for length in range(1, longest + 1):
         # A chunk is a row of megabytes.
         with batches(spark, 8):
-            counted = chunks.select("lang", "words", "tokens", "at").mapInArrow(_counter(length), "h long, n long")
-            often = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("h")
+            counted = chunks.select("lang", "words", "tokens", "starts").mapInArrow(_counter(length, parts), "part int, steps binary, n binary")
+            often = stage(counted.repartition(parts, "part").mapInArrow(_adder(support), "h long, f long"))
             bitmap = spark.sparkContext.broadcast(_bitmap(often))
-            chunks = stage(chunks.select("lang", "words", "tokens", "at").mapInArrow(_extender(length, bitmap), _CHUNK))
-        told = chunks.select("lang", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("counts").alias("f"))).alias("phrase", "f"))
-        exact = told.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
+            chunks = stage(chunks.select("lang", "words", "tokens", "starts").mapInArrow(_extender(length, longest, bitmap), _CHUNK))
+        told = chunks.select("lang", F.inline(F.arrays_zip(F.col("phrases").alias("phrase"), F.col("hashes").alias("h"))).alias("phrase", "h"))
+        exact = told.distinct().join(often, "h")
         exact = stage(exact.select("lang", "phrase", F.lit(length).alias("length"), "f"))
         found = exact if found is None else found.union(exact)
     return found, totals

@@ -53,10 +53,11 @@ def texts(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [50, 1 << 19])
+@pytest.mark.parametrize("chunk", [50, 1 << 20])
 def test_phrases_of_small_and_large_chunks(spark, monkeypatch, chunk):
     monkeypatch.setattr(collocations, "CHUNK", chunk)
     monkeypatch.setattr(collocations, "BITMAP_BITS", 1 << 15)
+    monkeypatch.setattr(collocations, "ROWS", chunk)
     rows = texts(1, 150) + [(None, "en"), ("", None), (" \n", "fr"), ("z " * 3000, "fr"), ("z " * 3000, "fr"), ("one. two", "es")]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     assert got(docs, support=30, best=2000) == by_hand(rows, 30, 2000)
