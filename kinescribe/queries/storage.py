@@ -130,7 +130,7 @@ def stitched_segments_stream(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("session_id", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("contact_events", f"""WITH d AS (SELECT user_id AS session_id, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS body_part, value AS d,
+CONTACTS_SQL = f"""WITH d AS (SELECT user_id AS session_id, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS body_part, value AS d,
        ROW_NUMBER() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1 AS f FROM events),
        s AS (SELECT *, CASE WHEN COUNT(*) FILTER (d < 15) OVER p = 2 THEN 1 WHEN COUNT(*) FILTER (d > 25) OVER p = 2 THEN 0 END AS signal FROM d
        WINDOW p AS (PARTITION BY session_id, body_part ORDER BY f ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)),
@@ -138,9 +138,11 @@ def stitched_segments_stream(spark: SparkSession, sf: str) -> DataFrame:
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state FROM s),
        u AS (SELECT *, SUM(CASE WHEN state = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, body_part ORDER BY f) AS g FROM t)
        SELECT session_id, body_part, {sr('MIN(f) / 10.0', 't_start')}, {sr('MAX(f) / 10.0', 't_end')}, {sr('AVG(d)', 'mean_distance_px')}, COUNT(*) AS frames
-       FROM u WHERE state = 1 GROUP BY session_id, body_part, g""")
-def contact_events(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """Event values as distances: touching below 15, released above 25, two frames each."""
+       FROM u WHERE state = 1 GROUP BY session_id, body_part, g"""
+
+
+def event_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Event values as distances of the left or right hand to one object, numbered by time."""
     from kinescribe.operators import contacts
     from kinescribe.plans.chunks import dense_index
 
@@ -149,6 +151,34 @@ def contact_events(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> Data
         F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("body_part"), F.lit(0).alias("object_id"),
         F.lit("cup").alias("object_label"), F.col("value").alias("distance_px"), "ts", "event_id",
     )
-    placed = dense_index(events, contacts.KEYS, fixtures.minute_of("ts"), ["ts", "event_id"], "frame_idx")
-    out = contacts.contact_events(placed, 15.0, 25.0, 2, 10.0, rows)
+    return dense_index(events, contacts.KEYS, fixtures.minute_of("ts"), ["ts", "event_id"], "frame_idx")
+
+
+@query("contact_events", CONTACTS_SQL)
+def contact_events(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Event values as distances: touching below 15, released above 25, two frames each."""
+    from kinescribe.operators import contacts
+
+    out = contacts.contact_events(event_distances(spark, sf), 15.0, 25.0, 2, 10.0, rows)
     return out.select("session_id", "body_part", r("t_start"), r("t_end"), r("mean_distance_px"), "frames")
+
+
+@query("contact_stream", CONTACTS_SQL)
+def contact_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from files that arrive one by one: frames up to 8 places out of order, then a heartbeat that closes open contacts."""
+    from kinescribe.streaming import contacts
+
+    placed = event_distances(spark, sf)
+    # Frames are dealt by number, so a file holds a stretch of every session, and every third frame comes a file later.
+    file = F.floor(F.col("frame_idx") / 5) + F.when(F.col("frame_idx") % 3 == 0, 1).otherwise(0)
+    file = F.least(F.lit(3), F.floor(file / F.lit(4)))
+    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("file") * 60)
+    sent = placed.withColumn("file", file).withColumn("arrived", arrived).select("session_id", "person_id", "body_part", "object_id", "object_label", "frame_idx", "distance_px", "arrived", "file")
+    beat = sent.limit(0).unionByName(spark.range(1).select(F.lit(4).alias("file"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("arrived")), allowMissingColumns=True)
+    folder = f"{fresh_folder(spark, 'distances')}/rows"
+    for part in range(4):
+        sent.where(F.col("file") == part).drop("file").write.mode("append").parquet(folder)
+    beat.drop("file").write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(sent.drop("file").schema).option("maxFilesPerTrigger", 8).parquet(folder)
+    found, _ = contacts.run_contacts(contacts.contact_stream(stream, 15.0, 25.0, 2, delay=8), 10.0)
+    return found.select(F.col("session_id").cast(placed.schema["session_id"].dataType).alias("session_id"), "body_part", r("t_start"), r("t_end"), r("mean_distance_px"), "frames")
