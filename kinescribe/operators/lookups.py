@@ -1,8 +1,10 @@
 """Interval joins and point-in-time lookups.
 
-All joins are equi-joins on the session and a time bucket: an interval is listed under every bucket it
-touches, and a pair is kept only in the bucket in which the later of the two starts. A long session is thus
-spread over its buckets instead of being joined in one task.
+All joins are equi-joins on the session and a cell of time. Cells come in levels: on each level they are twice as long as on the one
+below. An interval is listed on the lowest level whose cells are at least as long as itself, where it touches two cells at most, and on
+those higher levels on which the other side has intervals. A pair meets on the higher of its two levels and is kept only in the
+cell in which the later of the two starts. So an interval of any length has few copies, and a long session is spread over its cells instead
+of being joined in one task.
 """
 
 from __future__ import annotations
@@ -13,21 +15,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinescribe.operators.traces import KEYS
-from kinescribe.plans.chunks import in_chunks, ordered
+from kinescribe.plans.chunks import in_chunks, ordered, small_list
 
 BUCKET_S = 60.0
 
 
-def _bucket(t: Column | str, seconds: float) -> Column:
+#: Levels of cells; those of the highest are BUCKET_S * 2^40 seconds long.
+MOST_LEVELS = 40
+
+
+def _cell(t: Column | str, level: Column, seconds: float) -> Column:
+    """Number of the cell of a time."""
     col = F.col(t) if isinstance(t, str) else t
-    return F.floor(col / seconds).cast("bigint")
+    return F.floor(col / (F.lit(seconds) * F.pow(F.lit(2.0), level))).cast("bigint")
 
 
-def by_bucket(df: DataFrame, start: str, end: str, seconds: float = BUCKET_S) -> DataFrame:
-    """One copy of each interval per bucket it touches, as column ``_bucket``."""
-    return df.where(F.col(start) <= F.col(end)).withColumn(
-        "_bucket", F.explode(F.sequence(_bucket(start, seconds), _bucket(end, seconds)))
-    )
+def _level(start: str, end: str, seconds: float) -> Column:
+    """Lowest level whose cells are at least as long as the interval."""
+    length = F.greatest(F.lit(1.0), (F.col(end) - F.col(start)) / seconds)
+    return F.least(F.lit(MOST_LEVELS), F.ceil(F.log2(length))).cast("int")
+
+
+def levels_of(df: DataFrame, start: str, end: str, seconds: float = BUCKET_S) -> Column:
+    """Levels of the intervals of ``df`` as an array."""
+    return small_list(df.where(F.col(start) <= F.col(end)).select(_level(start, end, seconds).alias("level")).distinct(), F.col("level"))
+
+
+def by_cell(df: DataFrame, start: str, end: str, seconds: float = BUCKET_S, others: Column | None = None) -> DataFrame:
+    """One copy of each interval per cell it touches on its own level and on the higher ones of ``others``: ``_own``, ``_level``, ``_cell``."""
+    own = df.where(F.col(start) <= F.col(end)).withColumn("_own", _level(start, end, seconds))
+    levels = F.array("_own") if others is None else F.array_union(F.array("_own"), others)
+    listed = own.withColumn("_level", F.explode(levels)).where("_level >= _own")
+    cells = F.sequence(_cell(start, F.col("_level"), seconds), _cell(end, F.col("_level"), seconds))
+    return listed.withColumn("_cell", F.explode(cells))
 
 
 def overlapping(
@@ -36,9 +56,11 @@ def overlapping(
 ) -> DataFrame:
     """Pairs of intervals with equal keys that overlap or touch. Column names must differ outside the keys."""
     (ls, le), (rs, re) = left_span, right_span
-    pairs = by_bucket(left, ls, le, seconds).join(by_bucket(right, rs, re, seconds), [*keys, "_bucket"])
-    once = F.col("_bucket") == _bucket(F.greatest(ls, rs), seconds)
-    return pairs.where(once & (F.col(rs) <= F.col(le)) & (F.col(re) >= F.col(ls))).drop("_bucket")
+    a = by_cell(left, ls, le, seconds, levels_of(right, rs, re, seconds))
+    b = by_cell(right, rs, re, seconds, levels_of(left, ls, le, seconds)).withColumnRenamed("_own", "_other")
+    pairs = a.join(b, [*keys, "_level", "_cell"])
+    once = (F.col("_level") == F.greatest("_own", "_other")) & (F.col("_cell") == _cell(F.greatest(ls, rs), F.col("_level"), seconds))
+    return pairs.where(once & (F.col(rs) <= F.col(le)) & (F.col(re) >= F.col(ls))).drop("_level", "_cell", "_own", "_other")
 
 
 def align_speech(
@@ -71,14 +93,15 @@ def first_covering(
     """
     start, end = span
     # Repeated rows are looked up once and repeated at the end.
-    points = times.groupBy(*times.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", _bucket("time_s", seconds))
-    spans = by_bucket(intervals, start, end, seconds)
+    points = times.groupBy(*times.columns).agg(F.count(F.lit(1)).alias("_n"))
+    points = points.withColumn("_level", F.explode_outer(levels_of(intervals, start, end, seconds))).withColumn("_cell", _cell("time_s", F.col("_level"), seconds))
+    spans = by_cell(intervals, start, end, seconds)
     payload = F.struct(*[c for c in intervals.columns if c not in keys]).alias("_hit")
-    spans = spans.select(*keys, "_bucket", F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(order).alias("_o"), payload)
+    spans = spans.select(*keys, "_level", "_cell", F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(order).alias("_o"), payload)
     inside = (points["time_s"] >= spans["_s"]) & (
         (points["time_s"] < spans["_e"]) if half_open else (points["time_s"] <= spans["_e"])
     )
-    same = [points[k] == spans[k] for k in keys] + [points["_bucket"] == spans["_bucket"], inside]
+    same = [points[k] == spans[k] for k in keys] + [points["_level"] == spans["_level"], points["_cell"] == spans["_cell"], inside]
     joined = points.join(spans, same, "left").select(*[points[c] for c in times.columns], points["_n"], "_o", "_hit")
     found = joined.groupBy(*times.columns, "_n").agg(F.min_by("_hit", "_o").alias("found"))
     return found.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).drop("_n")
