@@ -27,6 +27,8 @@ WRITE_BLOCK = 1_000_000
 _POSITION = {"hand_frames": "frame_idx", "body_frames": "frame_idx", "gestures": "frame_idx", "trace": "frame_idx", "transcript": "seg_idx"}
 
 
+#: Column of the folders of versions; no table has one of that name.
+_PLACE = "store_version"
 _LISTED = "table string, version string, session_id string"
 
 
@@ -61,7 +63,7 @@ def _commit(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], ver
         order = [_POSITION[name]] if name in _POSITION else []
         out = df.withColumn("bucket", _bucket(F.col("session_id")))
         out = out.repartition("bucket", *place).sortWithinPartitions("bucket", "session_id", *order)
-        path = f"{root}/{name}/version={version}"
+        path = f"{root}/{name}/{_PLACE}={version}"
         out.write.partitionBy("bucket").parquet(path)
         # What was written counts, not what a second evaluation of the input would give.
         saved = spark.read.schema(_with_bucket(SESSION_TABLES[name])).parquet(path).select("session_id").distinct()
@@ -149,14 +151,14 @@ def read_sessions(spark: SparkSession, root: str, ids: Sequence[str] | None = No
         if name not in live:
             out[name] = spark.createDataFrame([], schema)
             continue
-        paths = [f"{root}/{name}/version={v}" for v in live[name]]
+        paths = [f"{root}/{name}/{_PLACE}={v}" for v in live[name]]
         df = spark.read.schema(_stored(schema)).option("basePath", f"{root}/{name}").parquet(*paths)
         if ids is not None:
             df = df.where(F.col("session_id").isin(list(ids)) & F.col("bucket").isin(*[_bucket(F.lit(i)) for i in ids]))
         if len(paths) > 1:
             # Few sessions are saved twice, so the rows themselves are not shuffled for this.
             gone = replaced.where((F.col("table") == name) & F.col("version").isin(live[name])).select("version", "session_id")
-            same = df["session_id"].eqNullSafe(gone["session_id"]) & (df["version"] == gone["version"])
+            same = df["session_id"].eqNullSafe(gone["session_id"]) & (df[_PLACE] == gone["version"])
             df = df.join(gone, same, "left_anti")
         out[name] = conform(df, name)
     out["sessions"] = with_defaults(out["sessions"])
@@ -164,7 +166,7 @@ def read_sessions(spark: SparkSession, root: str, ids: Sequence[str] | None = No
 
 
 def _stored(schema: StructType) -> StructType:
-    return StructType([*_with_bucket(schema).fields, StructField("version", StringType())])
+    return StructType([*_with_bucket(schema).fields, StructField(_PLACE, StringType())])
 
 
 def compact(spark: SparkSession, root: str) -> None:
@@ -185,7 +187,7 @@ def vacuum(spark: SparkSession, root: str) -> list[str]:
     for folder in [*(f"{root}/{name}" for name in SESSION_TABLES), f"{root}/manifest_new", f"{root}/manifest"]:
         files, target = _files(spark, folder)
         for entry in files.listStatus(target) if files.exists(target) else []:
-            version = entry.getPath().getName().removeprefix("version=")
+            version = entry.getPath().getName().removeprefix(f"{_PLACE}=")
             # Rows first, so a manifest never outlives what it lists.
             if version not in (kept if folder.endswith("manifest") else set(live.get(folder.rsplit("/", 1)[1], []))):
                 files.delete(entry.getPath(), True)
