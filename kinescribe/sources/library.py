@@ -13,10 +13,10 @@ CATEGORY_NAMES = (
 )
 #: A few starting terms per category, in the order of the names; projects bring their own lexicon as a file.
 STARTING_TERMS = (
-    ("glitch", "freezes", "unresponsive", "laggy", "workaround"),
-    ("shortcut", "export option", "would be nice", "plug-in", "integration"),
-    ("enjoyable", "smooth", "delightful", "impressed", "intuitive"),
-    ("begin by", "afterwards", "drag", "scroll down", "finally"),
+    ("stutters", "freezes", "unresponsive", "laggy", "workaround"),
+    ("shortcut", "export option", "please offer", "plug-in", "integration"),
+    ("enjoyable", "smooth", "delightful", "pleasing", "intuitive"),
+    ("begin by", "afterwards", "pick up", "scroll down", "finally"),
     ("palette", "spacing", "contrast", "typeface", "alignment"),
     ("weather", "lunch", "weekend", "coffee break", "microphone check"),
 )
