@@ -206,8 +206,8 @@ def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     bit = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1)) + 1
     found = hashes.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     bits = np.zeros(max(1, BITMAP_BITS >> 15) << 12, np.uint8)
-    # At most BITMAP_BITS / 32768 rows of 4 KB.
-    for row in found.toLocalIterator():
+    # At most BITMAP_BITS / 32768 rows of 4 KB, in one job: an iterator would run one for every partition.
+    for row in found.collect():
         at = (row.bucket - 1) << 12
         bits[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     return bits[: BITMAP_BITS >> 3]
