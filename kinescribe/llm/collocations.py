@@ -39,6 +39,8 @@ CHUNK = 1 << 20
 #: Counts that a task reads before it sums them.
 ROWS = 1 << 20
 BITMAP_BITS = 1 << 26
+#: Parts of a language's phrases that are ranked on their own before the best of all parts are.
+RANK_PARTS = 1 << 8
 
 _BORDERS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -263,5 +265,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     left = scored.join(inner, ["lang", "phrase"], "left")
     left = left.where(F.expr(f"longer IS NULL OR CAST(longer AS DECIMAL(20,0)) * 100 < CAST(a AS DECIMAL(20,0)) * {COVERED}"))
     left = left.join(totals, "lang").select("lang", "phrase", "a", "c.l", "c.r", "n", "c.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    # A language may have most of the phrases: the best of each of its parts are ranked first.
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    left = left.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    left = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= best)
+    order = Window.partitionBy("lang").orderBy(*order)
     return left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
