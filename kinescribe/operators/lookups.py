@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinescribe.operators.traces import KEYS
@@ -83,6 +83,19 @@ def aligned_speech(episodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.withColumn("aligned_speech", F.coalesce(plain, F.array())).drop("_list")
 
 
+def spoken_episodes(episodes: DataFrame, pairs: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` episodes of each session that have aligned speech, with it; ``lane`` numbers them from 0.
+
+    They are in order of start, then hand. Only the speech of these episodes is collected.
+    """
+    episode = [*KEYS, "start_frame"]
+    order = Window.partitionBy("session_id").orderBy("start_time", "hand", "start_frame")
+    spoken = episodes.join(pairs.select(*episode).distinct(), episode, "left_semi")
+    first = spoken.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
+    first = first.withColumn("lane", F.col("_rank").cast("bigint") - 1).drop("_rank")
+    return aligned_speech(first, pairs.join(first.select(*episode), episode, "left_semi"))
+
+
 def first_covering(
     times: DataFrame, intervals: DataFrame, keys: Sequence[str], span: tuple[str, str], order: str,
     half_open: bool = False, seconds: float = BUCKET_S,

@@ -264,6 +264,24 @@ def episodes_with_speech(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*ID, F.size("aligned_speech").cast("bigint").alias("segments"), spoken.alias("spoken"))
 
 
+@query("spoken_episodes", with_([SLOW, VELOCITY_CTE, EPISODES_CTE, SPEECH_CTE,
+       """al AS (SELECT e.session_id, hand, start_frame, start_time, end_time, seg_idx, text FROM ep e JOIN speech s
+       ON s.session_id = e.session_id AND NOT (end_s < start_time OR start_s > end_time) WHERE end_s > start_s
+       AND (LEAST(end_s,end_time)-GREATEST(start_s,start_time))/(end_s-start_s) > 0.2)""",
+       """told AS (SELECT session_id, hand, start_frame, start_time, end_time, COUNT(*) AS segments,
+       STRING_AGG(text, '|' ORDER BY seg_idx) AS spoken FROM al GROUP BY ALL)""",
+       """ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY start_time, hand, start_frame) - 1 AS lane FROM told)"""],
+       f"""SELECT session_id, hand, start_frame, lane, {sr('start_time')}, {sr('end_time - start_time', 'duration')}, segments, spoken
+       FROM ranked WHERE lane < 20"""))
+def spoken_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    found = stage(merged(fixtures.slow_trace(spark, sf)))
+    pairs = stage(lookups.align_speech(found, fixtures.transcript(spark, sf)))
+    out = lookups.spoken_episodes(found, pairs)
+    spoken = F.array_join(F.transform("aligned_speech", lambda s: s["text"]), "|")
+    length = (F.col("end_time") - F.col("start_time")).alias("duration")
+    return out.select(*ID, "lane", r("start_time"), r(length, alias="duration"), F.size("aligned_speech").cast("bigint").alias("segments"), spoken.alias("spoken"))
+
+
 GESTURE_FRAMES_CTE = """gf AS (SELECT user_id AS session_id, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS hand,
    event_type AS gesture, ROW_NUMBER() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1 AS frame_idx FROM events)"""
 

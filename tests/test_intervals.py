@@ -45,3 +45,24 @@ def test_first_interval_at_a_time(spark):
     assert got == sorted(((s, t, first(s, t)) for s, t in times), key=str)
     none = lookups.first_covering(asked, spark.createDataFrame([], "s string, n int, x double, y double"), ["s"], ("x", "y"), "n")
     assert none.count() == 200 and none.where("found IS NOT NULL").count() == 0
+
+
+def test_first_episodes_with_speech(spark):
+    rng = random.Random(6)
+    episodes = [(s, h, f, float(f // 2), float(f // 2) + 5.0) for s in "ab" for h in ("left", "right") for f in range(0, 300, 10)]
+    episodes = [e for e in episodes if rng.random() < 0.8] + [("c", "left", 0, 0.0, 5.0)]
+    speech = [(s, i, float(4 * i), float(4 * i) + rng.choice([0.0, 2.0, 9.0]), f"{s}{i}") for s in "ab" for i in range(40) if rng.random() < 0.6]
+    found = spark.createDataFrame(episodes, "session_id string, hand string, start_frame long, start_time double, end_time double")
+    said = spark.createDataFrame(speech, "session_id string, seg_idx int, start_s double, end_s double, text string")
+    for n in (1, 7, 20):
+        want = []
+        for s in "ab":
+            told = []
+            for e in sorted((e for e in episodes if e[0] == s), key=lambda e: (e[3], e[1], e[2])):
+                texts = [x[4] for x in speech if x[0] == s and x[3] > x[2] and min(x[3], e[4]) - max(x[2], e[3]) > 0.2 * (x[3] - x[2])]
+                told += [(s, e[1], e[2], texts)] * bool(texts)
+            want += [(*e, lane) for lane, e in enumerate(told[:n])]
+        got = lookups.spoken_episodes(found, lookups.align_speech(found, said), n).collect()
+        assert sorted((r.session_id, r.hand, r.start_frame, [x.text for x in r.aligned_speech], r.lane) for r in got) == sorted(want)
+    none = lookups.spoken_episodes(found, lookups.align_speech(found, said.limit(0)))
+    assert none.count() == 0 and none.columns == [*found.columns, "lane", "aligned_speech"]
