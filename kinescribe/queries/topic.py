@@ -57,7 +57,8 @@ def tfidf_terms_aggressive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CTFIDF = F4 + ", sg AS (SELECT topic, text FROM seg WHERE topic <> -1),\n" + _terms_cte("sg", "topic", topics.AGGRESSIVE, 3) + """,
-ft AS (SELECT term, SUM(tf) AS total, COUNT(*) AS classes FROM tc GROUP BY term HAVING COUNT(*) >= 2),
+ft AS (SELECT term, SUM(tf) AS total, COUNT(*) AS classes FROM tc GROUP BY term
+   HAVING COUNT(*) >= (SELECT CASE WHEN COUNT(*) > 300 THEN 2 ELSE 1 END FROM sg)),
 cw AS (SELECT topic, term, tf * LN(1.0 + (SELECT SUM(total) FROM ft) / (SELECT COUNT(DISTINCT topic) FROM tc) / total) AS weight
    FROM tc JOIN ft USING (term)),
 tp0 AS (SELECT topic, CAST(ROW_NUMBER() OVER (PARTITION BY topic ORDER BY ROUND(weight, 6) DESC, term) AS INT) AS rank, term, ROUND(weight, 6) AS weight FROM cw),
@@ -67,7 +68,8 @@ tp AS (SELECT * FROM tp0 WHERE rank <= 10)"""
 def ctfidf_words(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked topic words (weights rounded first, so that ties are broken alike everywhere)."""
     segments = docs(spark, sf).select(fixtures.topic_of("doc_id").alias("topic"), "text")
-    weights = topics.ctfidf(segments, min_classes=2).withColumn("weight", F.round("weight", 6))
+    least = topics.least_classes(segments.where("topic <> -1").count())
+    weights = topics.ctfidf(segments, min_classes=least).withColumn("weight", F.round("weight", 6))
     return topics.topic_words(weights)
 
 
