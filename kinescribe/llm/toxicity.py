@@ -8,15 +8,17 @@
 3. Label model. A generative model has a class prior and, for each class, a tree over the voters: every voter depends on
    the class and on one other voter (the maximum spanning tree of conditional mutual information). Its tables are the
    accuracies and the correlations of the voters. It is fitted by EM to labelled and unlabelled rows; known labels stay.
-4. Classifier. Logistic regression on hashed terms and votes learns the labels, or else the posterior labels, of a sample of
-   at most ``FIT_ROWS`` rows of the training fold (all of them, if there are fewer): labelled rows first, then by a hash of
-   the row's id and place, so copies of a text are drawn one by one. It scores whole texts.
+4. Classifier. Logistic regression on hashed terms and votes learns posterior labels only. That of an unlabelled row is the label
+   model's for its votes; that of a labelled row has the given label as one more voter, independent of the others and right with
+   probability ``LABEL_TRUST``. The sample has at most ``FIT_ROWS`` rows of the training fold: a share ``UNTOLD`` of them is
+   for unlabelled rows, the rest for labelled ones, both drawn by a hash of the row's id and place, so copies of a text are drawn
+   one by one. Unlabelled rows together weigh ``UNTOLD`` of the loss, however many there are. It scores whole texts.
 
-Tables that grow with the data are counted in tasks and summed by shuffles; the driver gets ``MOST_TERMS`` terms per kind, the table
-of votes and the sample. The sample's features (at most FEATURES + VOTERS a row) are streamed into a temporary file of the driver
-and read in blocks of ``FIT_BLOCK`` numbers. Terms, the keys of the sample and the weights are broadcast.
+Tables that grow with the data are counted in tasks and summed by shuffles; the driver gets a bitmap of ``TERM_BUCKETS`` bits per lexicon,
+the table of votes and the sample. The sample's features (at most FEATURES + VOTERS a row) are streamed into a temporary file of the driver
+and read in blocks of ``FIT_BLOCK`` numbers. Bitmaps, the keys of the sample and the weights are broadcast.
 
-Edge cases: a null or wordless text has no terms and is scored by the classifier's constant. Labels other than 0 and 1 and rows without a
+Edge cases: a null or wordless text has no terms and is scored by the classifier's constant. A very long text is read whole. Labels other than 0 and 1 and rows without a
 text teach nothing; of several labels of one row the highest counts. Without labels there are no lexicons, and without
 any training row every score is ``PRIOR``. Repeated rows count as often as they occur.
 """
@@ -41,9 +43,12 @@ from kinescribe.llm.word_hashes import Slice, slices
 KINDS = (0, 4, 6)
 #: Hash buckets of terms when they are counted, and of the classifier's features.
 TERM_BUCKETS, FEATURES = 1 << 22, 1 << 18
-MOST_TERMS = 1 << 12
 STRONG, WEAK = 0.75, 0.35
 FIT_ROWS = 1 << 14
+#: Share of unlabelled rows in the sample's limit and in the loss.
+UNTOLD = 0.25
+#: Probability with which a given label is right.
+LABEL_TRUST = 0.95
 #: Features of the sample that are read at a time; a row has no more than this.
 FIT_BLOCK = 1 << 19
 PRIOR = 0.1
@@ -61,7 +66,7 @@ VOTERS = 3 * len(KINDS) + len(PATTERNS)
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Sorted buckets of strong and weak terms per kind, and the classifier's weights (terms, then votes) and constant."""
+    """Bitmaps of strong and weak terms per kind, and the classifier's weights (terms, then votes) and constant."""
 
     strong: list[np.ndarray]
     weak: list[np.ndarray]
@@ -114,19 +119,18 @@ def _lexicons(labelled: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
     # Wilson's lower bound of the share.
     low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     good = stage(counted.withColumn("low", low).where((F.col("low") >= WEAK) & (F.col("t") >= 3)).select("kind", "bucket", "low"))
-    strong, weak = [], []
-    for k in range(len(KINDS)):
-        best = good.where(F.col("kind") == k).orderBy(F.desc("low"), "bucket").limit(MOST_TERMS).toPandas()
-        strong.append(np.sort(best.loc[best["low"] >= STRONG, "bucket"].to_numpy(np.uint64)))
-        weak.append(np.sort(best.loc[best["low"] < STRONG, "bucket"].to_numpy(np.uint64)))
+    # These functions count from 1.
+    at = F.col("bucket") + 1
+    bits = good.groupBy("kind", (F.col("low") >= STRONG).alias("strong"), F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    strong, weak = ([np.zeros(TERM_BUCKETS // 8, np.uint8) for _ in KINDS] for _ in range(2))
+    for row in bits.toLocalIterator():
+        part = np.frombuffer(bytes(row.bits), np.uint8)
+        (strong if row.strong else weak)[row.kind][(row.part - 1) * len(part) : row.part * len(part)] = part
     return strong, weak
 
 
-def _in(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
-    return sorted_values[at] == values
+def _in(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return (bitmap[values >> np.uint64(3)] >> (values & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def votes_of(texts: list[str | None], strong: list[np.ndarray], weak: list[np.ndarray]) -> np.ndarray:
@@ -228,14 +232,29 @@ def _blocks(lengths: np.ndarray) -> list[tuple[int, int]]:
     return blocks
 
 
-def _fit(features: BinaryIO, lengths: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+def given(posterior: np.ndarray, toxic: int | None) -> np.ndarray:
+    """``posterior`` after a label (or none), as the vote of one more voter that is right with probability ``LABEL_TRUST``."""
+    if toxic is None:
+        return posterior
+    yes, no = (LABEL_TRUST, 1 - LABEL_TRUST) if toxic else (1 - LABEL_TRUST, LABEL_TRUST)
+    return yes * posterior / (yes * posterior + no * (1 - posterior))
+
+
+def shares(told: np.ndarray) -> np.ndarray:
+    """Weight of each row of the sample: unlabelled rows have ``UNTOLD`` together, labelled ones the rest; all together 1."""
+    weight = np.where(told, (1 - UNTOLD) / max(told.sum(), 1), UNTOLD / max((~told).sum(), 1))
+    return weight / weight.sum()
+
+
+def _fit(features: BinaryIO, lengths: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression with a pull towards 0, by accelerated gradient descent; ``features`` holds those of all rows as 32-bit numbers."""
     n = len(target)
     blocks = _blocks(lengths)
     # The slope changes by at most a quarter of the squared length of a row: terms 1, constant 1, votes.
     step = 4.0 / (2 + VOTERS)
     at = np.zeros(FEATURES + VOTERS + 1)
-    at[-1] = np.log((target.sum() + PRIOR) / (n - target.sum() + 1 - PRIOR))
+    toxic = n * (weight @ target)
+    at[-1] = np.log((toxic + PRIOR) / (n - toxic + 1 - PRIOR))
     before = at
     for k in range(1, FIT_ROUNDS + 1):
         ahead = at + (k - 1) / (k + 2) * (at - before)
@@ -248,7 +267,7 @@ def _fit(features: BinaryIO, lengths: np.ndarray, target: np.ndarray) -> tuple[n
             owner = np.repeat(np.arange(end - first), size)
             values = _values(owner, part, end - first)
             z = np.bincount(owner, weights=ahead[part] * values, minlength=end - first) + ahead[-1]
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[first:end]) / n
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[first:end]) * weight[first:end]
             slope[:-1] += np.bincount(part, weights=error[owner] * values, minlength=len(at) - 1)
             slope[-1] += error.sum()
         before, at = at, ahead - step * slope
@@ -256,10 +275,13 @@ def _fit(features: BinaryIO, lengths: np.ndarray, target: np.ndarray) -> tuple[n
 
 
 def fit_sample(rows: DataFrame, known: DataFrame, size: int | None = None) -> DataFrame:
-    """Places and hashes of at most ``size`` (``FIT_ROWS``) of ``rows`` (doc_id and place): labelled ones first, then by the hash."""
+    """Places and hashes of at most ``size`` (``FIT_ROWS``) of ``rows`` (doc_id and place): the first labelled and the first unlabelled ones by the hash."""
+    size = FIT_ROWS if size is None else size
     keyed = rows.select("doc_id", *PLACE).join(known.select("doc_id", F.lit(1).alias("told")), "doc_id", "left")
     keyed = keyed.withColumn("h", F.xxhash64("doc_id", PLACE[1]))
-    return keyed.orderBy(F.col("told").desc_nulls_last(), "h", "doc_id", *PLACE).limit(FIT_ROWS if size is None else size).select(*PLACE, "h")
+    untold = int(size * UNTOLD)
+    parts = [keyed.where(which).orderBy("h", "doc_id", *PLACE).limit(n) for which, n in (("told = 1", size - untold), ("told IS NULL", untold))]
+    return parts[0].union(parts[1]).select(*PLACE, "h")
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ToxicityModel:
@@ -294,13 +316,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     posterior = label_model(patterns, counts)
 
     chosen = voted.where("features IS NOT NULL").join(known, "doc_id", "left").orderBy("h", "doc_id").select("features", "toxic", "votes")
-    lengths, target = [], []
+    lengths, target, told_rows = [], [], []
     with tempfile.TemporaryFile() as file:
         for row in chosen.toLocalIterator():
             file.write(row.features)
             lengths.append(len(row.features) // 4)
-            target.append(posterior[np.searchsorted(patterns, row.votes)] if row.toxic is None else row.toxic)
-        weights, constant = _fit(file, np.array(lengths, np.int64), np.array(target, float))
+            target.append(given(posterior[np.searchsorted(patterns, row.votes)], row.toxic))
+            told_rows.append(row.toxic is not None)
+        weights, constant = _fit(file, np.array(lengths, np.int64), np.array(target, float), shares(np.array(told_rows, bool)))
     return ToxicityModel(strong, weak, weights.astype(np.float32), constant)
 
 
