@@ -1,17 +1,20 @@
-"""License scans: anchor words pick candidates, banded alignment measures them.
-
-A match has at least ``COVERAGE`` of a template's words, so it misses at most e of them, and any e + 1 places of the template
-hold a word that it has. For each template e + 1 such anchors are chosen (words that are rare in it, long ones first) and make an
-inverted index of word hashes to template and place, which is shared with all tasks; its size is checked (``MOST_WORDS``). Every
-word of a text is looked up. A hit gives a diagonal (place in the text less place in the template). Template words with an equal
+"""License scans: winnowed fingerprints pick candidates, banded alignment measures them.
+
+A match has at least ``COVERAGE`` of a template's words, so it misses at most e of its n, and places in it move by at most ``BAND``. So at
+most e + ``BAND`` changes cut its other words into runs, and the longest run has at least (n - e) / (e + ``BAND`` + 1) words: the
+template's ``span``. The template is winnowed with k-grams of k = span / 2 + 1 words (the smallest hash of every ``span``
+words in a row is kept), which leaves at least one fingerprint in that run, in the template as in the text, whatever lies around it.
+Short templates have spans of one word, whose winnowing keeps every word. The fingerprints make an inverted index of
+hashes to template and place, shared with all tasks; its size is checked (``MOST_WORDS``). Texts are winnowed for each span of
+the index and looked up. A hit gives a diagonal (place in the text less place in the template). Template words with an equal
 word within ``BAND`` diagonals of it bound the matches there; if the bound reaches ``COVERAGE``, the template is aligned with the
 text: a dynamic program over a band of ``BAND`` diagonals on both sides finds the most words that match in order, ties
 going to the shortest span. Of overlapping alignments the one with most matches is reported. So no match is missed whose
-diagonals lie within ``BAND`` of one of its own anchors, wherever its words are changed.
+diagonals lie within ``BAND`` of each other, wherever its words are changed; one with more inserted words inside can be.
 
 All work on a text is done where the text is read: no shuffle, and a text's candidates are bounded by its words.
 
-Edge cases: null and wordless texts and templates match nothing. Equal templates are reported each. Rows with equal ids are reported each.
+Edge cases: null and wordless texts and templates match nothing. A very long text is scanned whole, as a slice of its own. Equal templates are reported each. Rows with equal ids are reported each.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinescribe.llm.license_texts import TEXTS
 from kinescribe.llm.word_hashes import Slice, slices
 
 BAND = 8
@@ -32,7 +36,7 @@ COVERAGE = 0.8
 #: Words of all templates together.
 MOST_WORDS = 1 << 20
 
-#: Short public license notices. A user passes templates of his own, such as whole licenses.
+#: Short public license notices.
 NOTICES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": (
@@ -51,40 +55,49 @@ NOTICES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+#: What is scanned for unless a user passes templates.
+TEMPLATES = {**NOTICES, **TEXTS}
+
 
 @dataclass(frozen=True)
 class Index:
-    """Names and word hashes of the templates; sorted hashes of anchor words with their template and place."""
+    """Names, word hashes and spans of the templates; for each span the sorted fingerprints with their template and place."""
 
     names: list[str]
     words: list[np.ndarray]
-    hashes: np.ndarray
-    template: np.ndarray
-    place: np.ndarray
+    prints: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _anchors(piece: Slice, coverage: float) -> np.ndarray:
-    """Places of a template of which every match has at least one: one more than a match may miss."""
-    n = len(piece.hash)
+def span_of(n: int, coverage: float) -> int:
+    """Words in a row that every match of a template of ``n`` words shares with it."""
     missed = sum(n - e >= coverage * n for e in range(1, n + 1))
-    _, of, count = np.unique(piece.hash, return_inverse=True, return_counts=True)
-    return np.sort(np.lexsort((piece.first - piece.end, count[of]))[: missed + 1])
+    return max(1, -(-(n - missed) // (missed + BAND + 1)))
+
+
+def _prints(piece: Slice, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the winnowed fingerprints for a span."""
+    return piece.kept(span // 2 + 1, span)
 
 
 def build_index(templates: dict[str, str], coverage: float = COVERAGE) -> Index:
     """Inverted index of templates (name to text), for matches of at least ``coverage``."""
     names = sorted(templates)
-    words, found = [], []
+    words: list[np.ndarray] = []
+    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     for t, name in enumerate(names):
         piece = Slice([(templates[name] or "").encode()])
         words.append(piece.hash)
-        places = _anchors(piece, coverage)
-        found.append((piece.hash[places], np.full(len(places), t), places))
+        span = span_of(len(piece.hash), coverage)
+        places, hashes = _prints(piece, span)
+        found.setdefault(span, []).append((hashes, np.full(len(places), t), places))
     if sum(map(len, words)) > MOST_WORDS:
         raise ValueError(f"the templates have more than {MOST_WORDS} words")
-    hashes, template, place = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    order = np.argsort(hashes, kind="stable")
-    return Index(names, words, hashes[order], template[order], place[order])
+    prints = {}
+    for span, columns in found.items():
+        hashes, template, place = (np.concatenate(c) for c in zip(*columns))
+        order = np.argsort(hashes, kind="stable")
+        prints[span] = hashes[order], template[order], place[order]
+    return Index(names, words, prints)
 
 
 def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -114,28 +127,51 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAN
     return score[best], start[best], end[best]
 
 
-def _hits(index: Index, piece: Slice) -> Iterator[tuple[int, int, int, int]]:
-    """(text, template, place in the text, place in the template) of anchors, in this order."""
-    low = np.searchsorted(index.hashes, piece.hash, "left")
-    places = np.flatnonzero(index.hashes[np.minimum(low, len(index.hashes) - 1)] == piece.hash) if len(index.hashes) else np.zeros(0, np.int64)
-    low = low[places]
-    size = np.searchsorted(index.hashes, piece.hash[places], "right") - low
+def _met(hashes: np.ndarray, places: np.ndarray, prints: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the slice, template, place in the template) of equal fingerprints."""
+    known, template, place = prints
+    low = np.searchsorted(known, hashes, "left")
+    size = np.searchsorted(known, hashes, "right") - low
+    hit = np.flatnonzero(size)
+    low, size = low[hit], size[hit]
     at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-    place = np.repeat(places, size)
-    text = np.searchsorted(piece.words, place, "right") - 1
-    columns = text, index.template[at], place - piece.words[text], index.place[at]
-    order = np.lexsort(columns[::-1])
-    yield from zip(*(c[order].tolist() for c in columns))
+    return np.repeat(places[hit], size), template[at], place[at]
+
 
+def _most(piece: Slice, order: np.ndarray, ranked: np.ndarray, template: np.ndarray, text: np.ndarray, diagonal: np.ndarray, band: int = BAND) -> np.ndarray:
+    """For each candidate (text of the slice and diagonal in the slice): words of ``template`` that the text has within the band.
 
-def _most(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> int:
-    """Words of ``template`` that are in ``text`` within the band: no alignment has more matches."""
-    n, found = len(template), np.zeros(len(template), bool)
-    for d in range(diagonal - band, diagonal + band + 1):
-        a, b = max(0, -d), min(n, len(text) - d)
+    No alignment has more matches. ``ranked`` are the hashes of the slice's words in the order ``order``.
+    """
+    found = np.zeros(len(diagonal), np.int64)
+    first, last = piece.words[text], piece.words[text + 1] - 1
+    edges = zip(np.searchsorted(ranked, template, "left").tolist(), np.searchsorted(ranked, template, "right").tolist())
+    for place, (a, b) in enumerate(edges):
         if a < b:
-            found[a:b] |= template[a:b] == text[a + d : b + d]
-    return int(found.sum())
+            low, high = np.maximum(diagonal + place - band, first), np.minimum(diagonal + place + band, last)
+            found += np.searchsorted(order[a:b], low, "left") < np.searchsorted(order[a:b], high, "right")
+    return found
+
+
+def _candidates(index: Index, piece: Slice, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, template, place in the text, place in the template, bound of the matches) of hits that may be matches, in this order."""
+    met = [_met(hashes, places, prints) for span, prints in index.prints.items() for places, hashes in [_prints(piece, span)]]
+    place, template, t_place = (np.concatenate(c) for c in zip(*met)) if met else (np.zeros(0, np.int64),) * 3
+    if not len(place):
+        return
+    text = np.searchsorted(piece.words, place, "right") - 1
+    most = np.zeros(len(place), np.int64)
+    order = np.argsort(piece.hash, kind="stable")
+    ranked = piece.hash[order]
+    for t in np.unique(template).tolist():
+        own = np.flatnonzero(template == t)
+        pairs, back = np.unique(np.stack([text[own], place[own] - t_place[own]]), axis=1, return_inverse=True)
+        most[own] = _most(piece, order, ranked, index.words[t], pairs[0], pairs[1])[back]
+    sizes = np.array([len(w) for w in index.words])
+    good = most >= coverage * sizes[template]
+    columns = [c[good] for c in (text, template, place - piece.words[text], t_place, most)]
+    rows = np.lexsort(columns[::-1])
+    yield from zip(*(c[rows].tolist() for c in columns))
 
 
 def scan(texts: list[str | None], index: Index, coverage: float = COVERAGE) -> list[list[dict]]:
@@ -149,7 +185,7 @@ def scan(texts: list[str | None], index: Index, coverage: float = COVERAGE) -> l
                 words = len(index.words[of[1]])
                 out[first + of[0]].append({"template": index.names[of[1]], "matched": best[0], "coverage": best[0] / words, "start": best[1], "end": best[2]})
 
-        for text, template, place, t_place in _hits(index, piece):
+        for text, template, place, t_place, most in _candidates(index, piece, coverage):
             if of != (text, template):
                 report()
                 of, best, floor, tried = (text, template), (0, 0, 0), 0, set()
@@ -157,16 +193,13 @@ def scan(texts: list[str | None], index: Index, coverage: float = COVERAGE) -> l
                 report()
                 best, floor, tried = (0, 0, 0), best[2], set()
             diagonal = place - t_place
-            if place < floor or diagonal in tried:
+            if place < floor or diagonal in tried or most <= best[0]:
                 continue
             tried.add(diagonal)
             a, b = int(piece.words[text]), int(piece.words[text + 1])
             words = index.words[template]
             low = max(0, diagonal - BAND, floor)
             part = piece.hash[a + low : max(a + low, min(b, a + diagonal + len(words) + BAND))]
-            most = _most(part, words, diagonal - low)
-            if most <= best[0] or most < coverage * len(words):
-                continue
             matches, start, end = align(part, words, diagonal - low)
             if matches > best[0] and matches >= coverage * len(words):
                 best = matches, low + start, low + end
@@ -185,7 +218,7 @@ _ARROW = pa.list_(pa.struct([("template", pa.string()), ("matched", pa.int64()),
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """``docs`` with ``licenses``: an array of (template, matched, coverage, start, end), with the span in words of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_index(NOTICES if templates is None else templates, coverage))
+    shared = docs.sparkSession.sparkContext.broadcast(build_index(TEMPLATES if templates is None else templates, coverage))
 
     def found(texts: pa.Array) -> pa.Array:
         return pa.array(scan(texts.to_pylist(), shared.value, coverage), _ARROW)
