@@ -50,7 +50,7 @@ UNTOLD = 0.25
 #: Probability with which a given label is right.
 LABEL_TRUST = 0.95
 #: Features of the sample that are read at a time; a row has no more than this.
-FIT_BLOCK = 1 << 19
+FIT_BLOCK = 1 << 17
 PRIOR = 0.1
 EM_ROUNDS, FIT_ROUNDS = 50, 300
 #: Weight of the squared weights in the classifier's loss.
@@ -250,6 +250,20 @@ def _fit(features: BinaryIO, lengths: np.ndarray, target: np.ndarray, weight: np
     """Logistic regression with a pull towards 0, by accelerated gradient descent; ``features`` holds those of all rows as 32-bit numbers."""
     n = len(target)
     blocks = _blocks(lengths)
+
+    def parts() -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, sizes, ends, features) of each block."""
+        features.seek(0)
+        for first, end in blocks:
+            size = lengths[first:end]
+            yield slice(first, end), size, np.cumsum(size), np.frombuffer(features.read(4 * int(size.sum())), "<u4").astype(np.int64)
+
+    def per_row(values: np.ndarray, size: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(values)])
+        return sums[ends] - sums[ends - size]
+
+    # Value of a term in each row, as in _values; votes count in full.
+    scale = np.concatenate([1 / np.sqrt(np.maximum(per_row(part < FEATURES, size, ends), 1)) for _, size, ends, part in parts()])
     # The slope changes by at most a quarter of the squared length of a row: terms 1, constant 1, votes.
     step = 4.0 / (2 + VOTERS)
     at = np.zeros(FEATURES + VOTERS + 1)
@@ -260,15 +274,12 @@ def _fit(features: BinaryIO, lengths: np.ndarray, target: np.ndarray, weight: np
         ahead = at + (k - 1) / (k + 2) * (at - before)
         slope = PULL * ahead
         slope[-1] = 0.0
-        features.seek(0)
-        for first, end in blocks:
-            size = lengths[first:end]
-            part = np.frombuffer(features.read(4 * int(size.sum())), "<u4").astype(np.int64)
-            owner = np.repeat(np.arange(end - first), size)
-            values = _values(owner, part, end - first)
-            z = np.bincount(owner, weights=ahead[part] * values, minlength=end - first) + ahead[-1]
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[first:end]) * weight[first:end]
-            slope[:-1] += np.bincount(part, weights=error[owner] * values, minlength=len(at) - 1)
+        for rows, size, ends, part in parts():
+            values = np.repeat(scale[rows], size)
+            values[part >= FEATURES] = 1.0
+            z = per_row(ahead[part] * values, size, ends) + ahead[-1]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[rows]) * weight[rows]
+            slope[:-1] += np.bincount(part, weights=np.repeat(error, size) * values, minlength=len(at) - 1)
             slope[-1] += error.sum()
         before, at = at, ahead - step * slope
     return at[:-1], float(at[-1])
