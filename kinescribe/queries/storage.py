@@ -166,6 +166,7 @@ def contact_events(spark: SparkSession, sf: str, rows: int = CHUNK_ROWS) -> Data
 @query("contact_stream", CONTACTS_SQL)
 def contact_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same from files that arrive one by one: frames up to 8 places out of order, then a heartbeat that closes open contacts."""
+    from kinescribe.operators.contacts import KEYS
     from kinescribe.streaming import contacts
 
     placed = event_distances(spark, sf)
@@ -177,7 +178,8 @@ def contact_stream(spark: SparkSession, sf: str) -> DataFrame:
     beat = sent.limit(0).unionByName(spark.range(1).select(F.lit(4).alias("file"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("arrived")), allowMissingColumns=True)
     folder = f"{fresh_folder(spark, 'distances')}/rows"
     for part in range(4):
-        sent.where(F.col("file") == part).drop("file").write.mode("append").parquet(folder)
+        # A key's stretch is in one file, so the order of its frames does not depend on how many files a batch takes.
+        sent.where(F.col("file") == part).drop("file").repartition(8, *KEYS).write.mode("append").parquet(folder)
     beat.drop("file").write.mode("append").parquet(folder)
     stream = spark.readStream.schema(sent.drop("file").schema).option("maxFilesPerTrigger", 8).parquet(folder)
     found, _ = contacts.run_contacts(contacts.contact_stream(stream, 15.0, 25.0, 2, delay=8), 10.0)

@@ -101,10 +101,12 @@ def contact_stream(distances: DataFrame, touch: float, release: float, frames: i
     """Contacts that have ended and frames that came too late, as rows (KEYS, kind, object_label, start_frame, end_frame, total, frames).
 
     ``distances``: KEYS, object_label, frame_idx, distance_px, ``arrived`` (when the row reached the store; rows that were received up to ``slack`` earlier
-    than the newest ones are still taken). Frames with a null number or distance are no frames. A row without a session is a heartbeat: it moves
+    than the newest ones are still taken, and so are those of the newest ones' own time, however many batches they fill). Frames with a null number or distance are no frames. A row without a session is a heartbeat: it moves
     the clock by which idle keys are closed, and nothing else.
     """
     pause = int(pd.Timedelta(idle).total_seconds() * 1000)
+    # A row as old as the watermark is dropped by Spark, so the watermark stays a millisecond behind the newest rows.
+    behind = int(pd.Timedelta(slack).total_seconds() * 1000) + 1
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if key[0] is None:
@@ -133,7 +135,7 @@ def contact_stream(distances: DataFrame, touch: float, release: float, frames: i
         F.col("session_id").cast("string").alias("session_id"), F.col("person_id").cast("int").alias("person_id"), "body_part",
         F.col("object_id").cast("int").alias("object_id"), "object_label", F.col("frame_idx").cast("long").alias("frame_idx"),
         F.col("distance_px").cast("double").alias("distance_px"), "arrived",
-    ).withWatermark("arrived", slack)
+    ).withWatermark("arrived", f"{behind} milliseconds")
     return timed.groupBy(*KEYS).applyInPandasWithState(step, _ROWS, _STATE, "append", "EventTimeTimeout")
 
 

@@ -64,6 +64,18 @@ def test_out_of_order_files_and_a_restart(spark, tmp_path):
     assert state.count() == 0
 
 
+def test_files_of_one_arrival_time_over_several_batches(spark, tmp_path):
+    folder, base = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(s, "left", f, d) for s in ("a", "b", "c") for f, d in frames(s, 40)]
+    for s in ("a", "b", "c"):
+        write(spark, folder, [r for r in rows if r[0] == s], 0)
+    write(spark, folder, [(None, None, None, None)], 600)
+    found, late = run(spark, folder, base)
+    given = spark.createDataFrame([(s, 0, p, 0, "cup", f, d, None) for s, p, f, d in rows], ROWS).drop("arrived")
+    assert rows_of(found) == rows_of(batch.contact_events(given, 15.0, 25.0, 2, 10.0))
+    assert late.count() == 0
+
+
 def test_state_does_not_grow_with_the_recording():
     machine = contacts._Machine(contacts._START, 15.0, 25.0, 3)
     import pandas as pd
