@@ -13,7 +13,7 @@ most five comparisons each, and the links found give provisional components. The
 through pairs of different provisional components. No bucket is cut; a bucket with very many fingerprints is
 a skewed join key, which adaptive execution splits.
 
-``drop_similar`` asks for a similarity of word shingles instead of a number of bits. There the chains tell which documents are compared
+``drop_similar`` asks for a similarity of word shingles instead of a number of bits. There both joins of the chains tell which documents are compared
 first, and whole sets of shingles decide. Sets of similarity 0.8 differ in about 10 of 64 bits, which no chain filter of 64 bits can
 select, so bands of minima (``minhash``) supply the pairs that the fingerprints miss.
 """
@@ -128,16 +128,32 @@ def star_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return near.where(_within_budgets(F.col("fp"), F.col("low"), F.col("start"), distance)).select("fp", "low")
 
 
-def linked_fingerprints(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, component) of distinct fingerprints ``fp``: components of "at most ``distance`` differing bits"."""
-    rough = connected_components(star_pairs(nodes, distance).select(F.col("fp").alias("a"), F.col("low").alias("b")))
+def _rough(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """(fp, component) by the links ``stars`` alone."""
+    rough = connected_components(stars.select(F.col("fp").alias("a"), F.col("low").alias("b")))
     rough = nodes.select("fp").join(rough, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
-    rough = stage(rough)
+    return stage(rough)
+
 
+def _bridges(rough: DataFrame, distance: int) -> DataFrame:
+    """(fp, low, component, low_component): all linked fingerprints of different components of ``rough``."""
     a, b = _keys(rough, distance, False).alias("a"), _keys(rough, distance, True).alias("b")
     on = (F.col("a.start") == F.col("b.start")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
-    bridges = a.join(b, on & _within_budgets(F.col("a.fp"), F.col("b.fp"), F.col("a.start"), distance))
-    merged = connected_components(bridges.select(F.col("a.component").alias("a"), F.col("b.component").alias("b")))
+    met = a.join(b, on & _within_budgets(F.col("a.fp"), F.col("b.fp"), F.col("a.start"), distance))
+    return met.select(F.col("b.fp").alias("fp"), F.col("a.fp").alias("low"), F.col("b.component").alias("component"), F.col("a.component").alias("low_component"))
+
+
+def chain_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, low): linked fingerprints of both joins; their components are those of all links."""
+    stars = stage(star_pairs(nodes, distance))
+    return stars.union(_bridges(_rough(nodes, stars), distance).select("fp", "low")).distinct()
+
+
+def linked_fingerprints(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, component) of distinct fingerprints ``fp``: components of "at most ``distance`` differing bits"."""
+    rough = _rough(nodes, star_pairs(nodes, distance))
+    bridges = _bridges(rough, distance)
+    merged = connected_components(bridges.select(F.col("low_component").alias("a"), F.col("component").alias("b")))
     joined = rough.join(merged, rough["component"] == F.col("node"), "left")
     return joined.select("fp", F.coalesce(merged["component"], rough["component"]).alias("component"))
 
@@ -184,7 +200,7 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     firsts = marked.groupBy("fp").agg(F.min("node").alias("centre"))
     marked, firsts = stage(marked), stage(firsts)
     equal = marked.join(firsts, "fp").where("node <> centre").select("node", "centre")
-    near = star_pairs(firsts, distance).join(firsts.withColumnRenamed("centre", "node"), "fp")
+    near = chain_pairs(firsts, distance).join(firsts.withColumnRenamed("centre", "node"), "fp")
     near = near.join(firsts.withColumnRenamed("fp", "low"), "low").select("node", "centre")
     classes = minhash.linked_sets(nodes, docs, text, shingle, similarity, equal.union(near))
     blank = rows.where("size = 0").select("node", F.col("node").alias("component")).distinct()
