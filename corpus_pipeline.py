@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kinescribe.llm import decontaminate, exact_dedup, language_id, packing, simhash
 from kinescribe.llm.common import read, stage
 
+#: Runs whose ids a worker remembers in packing: an eighth of the default, as executor and workers still hold memory of the stages before.
+REMEMBERED = 1 << 16
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the model is trained on those whose language is given."""
@@ -34,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of at most 2048 ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [

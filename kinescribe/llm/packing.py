@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinescribe.llm.common import lazily, small_batches
-from kinescribe.llm.word_ids import sentence_ends, word_ids
+from kinescribe.llm.word_ids import REMEMBERED, sentence_ends, word_ids
 
 LIMIT = 2048
 END_ID = 1
@@ -136,10 +136,11 @@ class _Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    ``tokenizer`` is the path of a tokenizer file as :class:`kinescribe.llm.word_ids.WordIds` expects it.
+    ``tokenizer`` is the path of a tokenizer file as :class:`kinescribe.llm.word_ids.WordIds` expects it. ``remembered`` bounds the runs whose ids a
+    worker remembers: fewer take less memory and more time, the rows are the same.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -154,6 +155,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
+        words.remembered = remembered
         ends = np.zeros(max(words.tokenizer.get_vocab_size(), end_id + 1), bool)
         ends[list(sentence_ends(tokenizer))] = True
         packer = _Packer(ends, limit, TaskContext.get().partitionId() << 40)

@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Runs whose ids are remembered; the cache starts anew when it is full.
+#: Runs whose ids are remembered unless ``WordIds.remembered`` is set; the cache starts anew when it is full.
 REMEMBERED = 1 << 19
 #: Bytes of a text split at a time.
 PART = 1 << 20
@@ -51,12 +51,13 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.remembered = REMEMBERED
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _learn(self, runs: list[bytes]) -> None:
         """Put runs, each given once, into the cache."""
         cache = self.cache
-        if len(cache) + 2 * len(runs) > REMEMBERED:
+        if len(cache) + 2 * len(runs) > self.remembered:
             cache.clear()
         marked = [r for r in runs if _MARKED.fullmatch(r)]
         if marked:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import plain
 import public_tokenizers
@@ -142,6 +143,22 @@ def test_a_full_cache_starts_anew(monkeypatch):
         assert np.frombuffer(words.ids("and, other words."), "<u4").tolist() == words.tokenizer.encode("and, other words.", add_special_tokens=False).ids
 
 
+def test_a_worker_of_the_pipeline_remembers_fewer_runs(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(packing, "pack", lambda docs, **more: asked.update(more))
+    corpus_pipeline.pack_windows(None, None, SF)
+    most = asked["remembered"]
+    assert most <= word_ids.REMEMBERED // 8
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, free = word_ids.WordIds(path), word_ids.WordIds(path)
+    words.remembered = most
+    for i in range(20):
+        text = " ".join(f"{i}x{j}" for j in range(most // 8)) + " and more."
+        assert words.ids(text) == free.ids(text)
+        assert len(words.cache) <= most
+    assert len(free.cache) > most
+
+
 def _check_shards(rows, texts, shards=8):
     assert len(rows) == len(texts)
     slots, load = {}, [0] * shards
