@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinescribe.plans.staging import fresh_folder
 
-__all__ = ["PLACE", "batches", "folded", "id_text", "lazily", "located", "maybe_in", "read", "small_batches", "stage", "with_place", "with_row", "without"]
+__all__ = ["PLACE", "batches", "folded", "id_text", "lazily", "located", "maybe_in", "read", "shuffled", "small_batches", "stage", "with_place", "with_row", "without"]
 
 #: Columns that tell rows apart by where they are stored.
 PLACE = ["_kinescribe_file", "_kinescribe_row"]
@@ -104,6 +104,15 @@ def maybe_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return asked.join(F.broadcast(bits), "_bucket").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*df.columns)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast; for rows that Spark cannot count beforehand.
+
+    Spark takes an exploded table for no longer than the table before, and what is written for as large as its compressed files. Once it has
+    planned a broadcast on such an estimate, adaptive execution keeps it, whatever size it meets.
+    """
+    return df.hint("merge")
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` as a scan of files; anything else is written to the shared folder first."""
     try:

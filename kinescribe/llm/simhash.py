@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinescribe.llm import minhash
-from kinescribe.llm.common import PLACE, lazily, located, small_batches, stage, with_place, without
+from kinescribe.llm.common import PLACE, lazily, located, shuffled, small_batches, stage, with_place, without
 from kinescribe.llm.components import connected_components
 
 BITS = 64
@@ -124,7 +124,7 @@ def star_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, low): fingerprints of ``nodes`` that are linked with the smallest one of the same key."""
     plain = _keys(nodes.select("fp"), distance, False)
     smallest = plain.groupBy("start", "key").agg(F.min("fp").alias("low"))
-    near = plain.join(smallest, ["start", "key"]).where(F.col("fp") != F.col("low"))
+    near = plain.join(shuffled(smallest), ["start", "key"]).where(F.col("fp") != F.col("low"))
     return near.where(_within_budgets(F.col("fp"), F.col("low"), F.col("start"), distance)).select("fp", "low")
 
 
@@ -137,7 +137,7 @@ def _rough(nodes: DataFrame, stars: DataFrame) -> DataFrame:
 
 def _bridges(rough: DataFrame, distance: int) -> DataFrame:
     """(fp, low, component, low_component): all linked fingerprints of different components of ``rough``."""
-    a, b = _keys(rough, distance, False).alias("a"), _keys(rough, distance, True).alias("b")
+    a, b = _keys(rough, distance, False).alias("a"), shuffled(_keys(rough, distance, True)).alias("b")
     on = (F.col("a.start") == F.col("b.start")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
     met = a.join(b, on & _within_budgets(F.col("a.fp"), F.col("b.fp"), F.col("a.start"), distance))
     return met.select(F.col("b.fp").alias("fp"), F.col("a.fp").alias("low"), F.col("b.component").alias("component"), F.col("a.component").alias("low_component"))
