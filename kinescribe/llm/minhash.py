@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import PLACE, batches, lazily, located, maybe_in, stage, with_place, without
+from kinescribe.llm.common import PLACE, batches, lazily, located, maybe_in, shuffled, stage, with_place, without
 from kinescribe.llm.components import connected_components
 from kinescribe.llm.word_hashes import mixed
 
@@ -235,11 +235,16 @@ def _named(names: DataFrame, merged: DataFrame) -> DataFrame:
     return joined.select("node", F.coalesce("merged", "component").alias("component"))
 
 
-def linked_sets(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: tuple[int, int], pairs: DataFrame | None = None) -> DataFrame:
-    """(node, component) of ``nodes`` (node, size, bands, place of a text); ``pairs`` (node, centre) are compared as well."""
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, low, low_size): the bands that several nodes have, and the smallest node of each."""
     keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = stage(keyed.join(buckets, "key").select("key", "node", "size", F.col("low.node").alias("low"), F.col("low.size").alias("low_size")))
+    return keyed.join(shuffled(buckets), "key").select("key", "node", "size", F.col("low.node").alias("low"), F.col("low.size").alias("low_size"))
+
+
+def linked_sets(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: tuple[int, int], pairs: DataFrame | None = None) -> DataFrame:
+    """(node, component) of ``nodes`` (node, size, bands, place of a text); ``pairs`` (node, centre) are compared as well."""
+    shared = stage(_shared(nodes))
     near = shared.where((F.col("node") != F.col("low")) & _fit(F.col("size"), F.col("low_size"), similarity)).select("node", F.col("low").alias("centre"))
     near = near if pairs is None else near.union(pairs.select("node", "centre"))
     near = stage(near.distinct())

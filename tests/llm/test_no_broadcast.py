@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from kinescribe.llm import simhash
+from kinescribe.llm import minhash, simhash
 
 
 def planned(df):
@@ -18,3 +18,10 @@ def test_fingerprint_keys_are_not_broadcast(spark, tmp_path):
     rough = spark.read.parquet(str(tmp_path / "rough"))
     for pairs in (simhash.star_pairs(rough), simhash._bridges(rough, simhash.DISTANCE)):
         assert "SortMergeJoin" in planned(pairs) and "Broadcast" not in planned(pairs)
+
+
+def test_bands_are_not_broadcast(spark, tmp_path):
+    rows = [(n, 9, [n * 48 + i % 40 for i in range(48)]) for n in range(40)]
+    spark.createDataFrame(rows, "node long, size long, bands array<long>").write.parquet(str(tmp_path / "nodes"))
+    shared = minhash._shared(spark.read.parquet(str(tmp_path / "nodes")))
+    assert "SortMergeJoin" in planned(shared) and "Broadcast" not in planned(shared)
