@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinescribe import fixtures
 from kinescribe.plans.chunks import CHUNK_ROWS
-from kinescribe.plans.staging import fresh_folder
+from kinescribe.plans.staging import fresh_folder, stage
 from kinescribe.queries.base import query, r, sr, with_
 from kinescribe.sources import library, sessions
 from kinescribe.streaming import incremental
@@ -175,6 +175,7 @@ def contact_stream(spark: SparkSession, sf: str) -> DataFrame:
     file = F.least(F.lit(3), F.floor(file / F.lit(4)))
     arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("file") * 60)
     sent = placed.withColumn("file", file).withColumn("arrived", arrived).select("session_id", "person_id", "body_part", "object_id", "object_label", "frame_idx", "distance_px", "arrived", "file")
+    sent = stage(sent)
     beat = sent.limit(0).unionByName(spark.range(1).select(F.lit(4).alias("file"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("arrived")), allowMissingColumns=True)
     folder = f"{fresh_folder(spark, 'distances')}/rows"
     for part in range(4):

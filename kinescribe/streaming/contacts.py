@@ -1,15 +1,16 @@
-"""Contact events as a stream: one small state per person, body part and object.
+"""Contact events as a stream: a small state per person, body part and object, the keys; those of a shard of keys are saved together.
 
 Frames may arrive in any order within ``delay`` frames of the newest one of their key. They wait in the state until the key's own clock
 (its newest frame) has passed them by ``delay``, then go through the contact rule in order. The state holds those frames, the
 flags of the last few frames and the open contact, so its size does not grow with the recording. A frame that comes later than that is
 not dropped: it leaves the stream as a row of its own kind. A key of which nothing has arrived for ``idle`` is closed by a timer: its
-waiting frames are used, an open contact ends with its last frame, and the state is removed.
+waiting frames are used, an open contact ends with its last frame, and its state is removed. A shard's timer is that of the key that is closed first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,12 +26,13 @@ _ROWS = (
     "total double, frames long"
 )
 _COLUMNS = [part.split()[0] for part in _ROWS.split(", ")]
-#: Newest frame, number of the last frame used, state, flags of the last frames, open contact, waiting frames.
-_STATE = (
-    "newest long, used long, touching boolean, near array<boolean>, far array<boolean>, label string, start_frame long, end_frame long, "
-    "total double, frames long, waiting_frame array<long>, waiting_distance array<double>, waiting_label array<string>"
-)
+#: A list with an item per key, as JSON: the key, when it is closed if nothing arrives, and the values of ``_Machine.saved``.
+_STATE = "keys string"
+#: Newest frame, number of the last frame used, state, flags of the last frames (near, far), open contact (label, first and last frame, total,
+#: frames), waiting frames (number, distance, label).
 _START = (-1, -1, False, [], [], None, None, None, 0.0, 0, [], [], [])
+#: Shards of keys; a call takes the frames of all keys of one, as calls and states cost more than a key's few frames.
+SHARDS = 1024
 
 
 def _all_recent(flags: np.ndarray, before: list[bool], frames: int) -> np.ndarray:
@@ -45,31 +47,36 @@ class _Machine:
     def __init__(self, state: tuple, touch: float, release: float, frames: int):
         self.newest, self.used, self.touching, near, far, self.label, self.start, self.end, self.total, self.count, *waiting = state
         self.near, self.far = list(near), list(far)
-        self.waiting = pd.DataFrame({"frame_idx": np.array(waiting[0], np.int64), "distance_px": np.array(waiting[1], float), "object_label": list(waiting[2])})
+        self.waiting, self.waiting_distance, self.waiting_label = np.array(waiting[0], np.int64), np.array(waiting[1], float), np.array(waiting[2], object)
         self.touch, self.release, self.k = touch, release, frames
 
     def saved(self) -> tuple:
-        w = self.waiting
         return (
             self.newest, self.used, self.touching, self.near, self.far, self.label, self.start, self.end, self.total, self.count,
-            w["frame_idx"].tolist(), w["distance_px"].tolist(), w["object_label"].tolist(),
+            self.waiting.tolist(), self.waiting_distance.tolist(), self.waiting_label.tolist(),
         )
 
-    def add(self, rows: pd.DataFrame) -> pd.DataFrame:
-        """Take rows in; what came too late is returned."""
-        late = rows["frame_idx"] <= self.used
-        fresh = rows.loc[~late, list(self.waiting.columns)]
-        self.waiting = pd.concat([self.waiting, fresh]) if len(self.waiting) else fresh
-        self.newest = max(self.newest, int(rows["frame_idx"].max()))
-        return rows[late]
+    def add(self, rows: Mapping[str, Sequence]) -> list[tuple]:
+        """Take frames in (frame_idx, distance_px, object_label); what came too late is returned."""
+        frame, distance, label = np.asarray(rows["frame_idx"], np.int64), np.asarray(rows["distance_px"], float), np.asarray(rows["object_label"], object)
+        late = frame <= self.used
+        self.newest = max(self.newest, int(frame.max()))
+        came_late = [("late", label[i], int(frame[i]), int(frame[i]), float(distance[i]), 1) for i in np.flatnonzero(late).tolist()]
+        if came_late:
+            frame, distance, label = frame[~late], distance[~late], label[~late]
+        self.waiting = np.concatenate([self.waiting, frame])
+        self.waiting_distance = np.concatenate([self.waiting_distance, distance])
+        self.waiting_label = np.concatenate([self.waiting_label, label])
+        return came_late
 
     def use(self, until: int | None) -> list[tuple]:
         """Use the waiting frames up to ``until`` (all of them, if None); contacts that have ended."""
-        ready = self.waiting["frame_idx"] <= until if until is not None else np.ones(len(self.waiting), bool)
-        rows, self.waiting = self.waiting[ready].sort_values("frame_idx", kind="stable"), self.waiting[~ready]
-        if not len(rows):
+        ready = self.waiting <= until if until is not None else np.ones(len(self.waiting), bool)
+        if not ready.any():
             return []
-        frame, distance = rows["frame_idx"].to_numpy(), rows["distance_px"].to_numpy(float)
+        order = np.flatnonzero(ready)[np.argsort(self.waiting[ready], kind="stable")]
+        frame, distance, label = self.waiting[order], self.waiting_distance[order], self.waiting_label[order]
+        self.waiting, self.waiting_distance, self.waiting_label = self.waiting[~ready], self.waiting_distance[~ready], self.waiting_label[~ready]
         near, far = distance < self.touch, distance > self.release
         signal = np.where(_all_recent(near, self.near, self.k), 1, np.where(_all_recent(far, self.far, self.k), 0, -1))
         self.near, self.far = ([*old, *new.tolist()][len(old) + len(new) - min(self.k - 1, len(old) + len(new)) :] for old, new in ((self.near, near), (self.far, far)))
@@ -83,7 +90,7 @@ class _Machine:
                 ended += self.close()
                 continue
             if not self.count:
-                self.start, self.label = int(frame[a]), rows["object_label"].iloc[a]
+                self.start, self.label = int(frame[a]), label[a]
             self.end = int(frame[b - 1])
             self.total += float(distance[a:b].sum())
             self.count += b - a
@@ -97,46 +104,69 @@ class _Machine:
         return ended
 
 
-def contact_stream(distances: DataFrame, touch: float, release: float, frames: int, delay: int, idle: str = "10 minutes", slack: str = "0 seconds") -> DataFrame:
+def _by_key(rows: pd.DataFrame) -> Iterator[tuple[tuple, int, dict[str, np.ndarray]]]:
+    """(key, time of its newest row in milliseconds, its frames by column) for each key; rows without a number or distance are no frames."""
+    code = np.zeros(len(rows), np.int64)
+    for name in KEYS:
+        own, values = pd.factorize(rows[name], use_na_sentinel=False)
+        code = np.unique(code * len(values) + own, return_inverse=True)[1].reshape(-1)
+    order = np.argsort(code, kind="stable")
+    edges = [0, *np.cumsum(np.bincount(code)).tolist()]
+    firsts = rows[KEYS].iloc[order[edges[:-1]]].astype(object)
+    keys = firsts.where(firsts.notna(), None).itertuples(index=False, name=None)
+    arrived = rows["arrived"].to_numpy("datetime64[ms]").astype(np.int64)[order]
+    frame, distance, label = (rows[c].to_numpy()[order] for c in ("frame_idx", "distance_px", "object_label"))
+    kept = ~(pd.isna(frame) | pd.isna(distance))
+    for (session, person, part, thing), a, b in zip(keys, edges, edges[1:]):
+        some = kept[a:b]
+        frames = {"frame_idx": frame[a:b][some], "distance_px": distance[a:b][some], "object_label": label[a:b][some]}
+        yield (session, person if person is None else int(person), part, thing if thing is None else int(thing)), max(0, int(arrived[a:b].max())), frames
+
+
+def contact_stream(distances: DataFrame, touch: float, release: float, frames: int, delay: int, idle: str = "10 minutes", slack: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
     """Contacts that have ended and frames that came too late, as rows (KEYS, kind, object_label, start_frame, end_frame, total, frames).
 
     ``distances``: KEYS, object_label, frame_idx, distance_px, ``arrived`` (when the row reached the store; rows that were received up to ``slack`` earlier
     than the newest ones are still taken, and so are those of the newest ones' own time, however many batches they fill). Frames with a null number or distance are no frames. A row without a session is a heartbeat: it moves
-    the clock by which idle keys are closed, and nothing else.
+    the clock by which idle keys are closed, and nothing else. ``shards`` must stay the same for a checkpoint.
     """
     pause = int(pd.Timedelta(idle).total_seconds() * 1000)
     # A row as old as the watermark is dropped by Spark, so the watermark stays a millisecond behind the newest rows.
     behind = int(pd.Timedelta(slack).total_seconds() * 1000) + 1
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if key[0] is None:
+    def step(shard: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if shard[0] < 0:
             return
-        machine = _Machine(state.get if state.exists else _START, touch, release, frames)
+        saved = {tuple(key): (closes, values) for key, closes, values in json.loads(state.get[0])} if state.exists else {}
+        now = state.getCurrentWatermarkMs()
         out: list[tuple] = []
-        if state.hasTimedOut:
-            out = machine.use(None) + machine.close()
-            state.remove()
+        if not state.hasTimedOut:
+            # All at once, as the parts of one batch are in no order.
+            for key, seen, rows in _by_key(pd.concat(list(parts), ignore_index=True)):
+                machine = _Machine(saved[key][1] if key in saved else _START, touch, release, frames)
+                found = machine.add(rows) if len(rows["frame_idx"]) else []
+                found += machine.use(machine.newest - delay)
+                out += [(*key, *row) for row in found]
+                saved[key] = (max(seen, now) + pause, machine.saved())
+        # A key that has rows now closes later, so this closes silent ones only.
+        for key in [key for key, (closes, _) in saved.items() if closes < now]:
+            machine = _Machine(saved.pop(key)[1], touch, release, frames)
+            out += [(*key, *row) for row in machine.use(None) + machine.close()]
+        if saved:
+            state.update((json.dumps([(key, *rest) for key, rest in saved.items()], separators=(",", ":")),))
+            state.setTimeoutTimestamp(min(closes for closes, _ in saved.values()))
         else:
-            seen = 0
-            for rows in parts:
-                seen = max(seen, int(rows["arrived"].max().timestamp() * 1000))
-                rows = rows.dropna(subset=["frame_idx", "distance_px"])
-                if len(rows):
-                    late = machine.add(rows)
-                    out += [("late", r.object_label, r.frame_idx, r.frame_idx, r.distance_px, 1) for r in late.itertuples()]
-            # Only now, as the parts of one batch are in no order.
-            out += machine.use(machine.newest - delay)
-            state.update(machine.saved())
-            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + pause)
+            state.remove()
         if out:
-            yield pd.DataFrame([(*key, *row) for row in out], columns=_COLUMNS)
+            yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
 
     timed = distances.select(
         F.col("session_id").cast("string").alias("session_id"), F.col("person_id").cast("int").alias("person_id"), "body_part",
         F.col("object_id").cast("int").alias("object_id"), "object_label", F.col("frame_idx").cast("long").alias("frame_idx"),
         F.col("distance_px").cast("double").alias("distance_px"), "arrived",
     ).withWatermark("arrived", f"{behind} milliseconds")
-    return timed.groupBy(*KEYS).applyInPandasWithState(step, _ROWS, _STATE, "append", "EventTimeTimeout")
+    shard = F.when(F.col("session_id").isNull(), -1).otherwise(F.pmod(F.xxhash64(*KEYS), F.lit(shards))).cast("int")
+    return timed.withColumn("shard", shard).groupBy("shard").applyInPandasWithState(step, _ROWS, _STATE, "append", "EventTimeTimeout")
 
 
 def run_contacts(events: DataFrame, fps: float, base: str | None = None) -> tuple[DataFrame, DataFrame]:

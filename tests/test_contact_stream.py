@@ -105,3 +105,35 @@ def test_rule_does_not_depend_on_the_cuts(frames_needed, cut):
         return [(k, a, b, round(t, 6), n) for k, _, a, b, t, n in found + machine.use(None) + machine.close()]
 
     assert contacts_of(cut) == contacts_of(200)
+
+
+def test_many_keys_share_a_state(spark, tmp_path):
+    # More keys than shards, some of them with a null part: far fewer states than keys, and the rows of the batch operator.
+    folder, base = str(tmp_path / "in"), str(tmp_path / "out")
+    one = list(enumerate([3.0] * 4 + [30.0] * 3 + [3.0] * 5))
+    rows = [(f"s{k}" if k % 7 else f'"{k}\\', k % 3 or None, ("left", None)[k % 5 == 0], 0, "cup", f, d) for k in range(3 * contacts.SHARDS) for f, d in one]
+    given = spark.createDataFrame(rows, ROWS.rsplit(",", 1)[0])
+    for minute, part in enumerate(("frame_idx < 6", "frame_idx >= 6")):
+        given.where(part).withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000 + 60 * minute))).coalesce(1).write.mode("append").parquet(folder)
+    run(spark, folder, base, delay=2)
+    assert 0 < spark.read.format("statestore").load(f"{base}/state").count() <= contacts.SHARDS
+    write(spark, folder, [(None, None, None, None)], 600)
+    found, late = run(spark, folder, base, delay=2)
+    want = batch.contact_events(given, 15.0, 25.0, 2, 10.0)
+    columns = ["session_id", "person_id", "body_part", "object_id", "object_label", F.round("t_start", 6), F.round("t_end", 6), F.round("mean_distance_px", 6), "frames"]
+    assert found.select(*columns).exceptAll(want.select(*columns)).count() == 0 and found.count() == want.count() > 0
+    assert late.count() == 0
+
+
+def test_a_silent_key_closes_beside_one_that_goes_on(spark, tmp_path):
+    # Both keys are in one shard; the one that falls silent is closed by its own timer.
+    folder = str(tmp_path / "in")
+    write(spark, folder, [(s, "left", f, 3.0) for s in ("a", "b") for f in range(5)], 0)
+    for k in range(1, 5):
+        write(spark, folder, [("b", "left", 5 * k + f, 3.0) for f in range(5)], 20 * k)
+    write(spark, folder, [("a", "left", 5, 3.0), ("a", "left", 6, 3.0)], 80)
+    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(folder)
+    found, late = contacts.run_contacts(contacts.contact_stream(stream, 15.0, 25.0, 2, 10, idle="30 minutes", shards=1), 10.0)
+    # The contact of a ended at frame 4; when it came back, it began anew, and nothing of that or of b is closed yet.
+    assert rows_of(found) == [("a", "left", 0.1, 0.4, 3.0, 4)]
+    assert late.count() == 0
